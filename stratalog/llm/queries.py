@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.llm.langid import op6_language_id
+from stratalog.llm.media import op4_media_columns
+from stratalog.llm.pieces import op10_sentencepiece
+from stratalog.llm.secrets import op3_secret_scans
 from stratalog.llm.token_output import op7_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scans": op3_secret_scans,
+    "op4_media_columns": op4_media_columns,
+    "op6_language_id": op6_language_id,
     "op7_token_output": op7_token_output,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
