@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.llm.langid import op6_language_id
 from stratalog.llm.media import op4_media_columns
 from stratalog.llm.pieces import op10_sentencepiece
+from stratalog.llm.quality import ORACLE as QUALITY_SQL
+from stratalog.llm.quality import op9_quality_rules
 from stratalog.llm.secrets import op3_secret_scans
 from stratalog.llm.token_output import op7_token_output
 
@@ -17,7 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op6_language_id": op6_language_id,
     "op7_token_output": op7_token_output,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality_rules": QUALITY_SQL,
+}
