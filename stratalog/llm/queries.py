@@ -8,21 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.langid import op6_language_id
 from stratalog.llm.media import op4_media_columns
+from stratalog.llm.mixing import op8_source_mixing
 from stratalog.llm.pieces import op10_sentencepiece
 from stratalog.llm.quality import ORACLE as QUALITY_SQL
 from stratalog.llm.quality import op9_quality_rules
 from stratalog.llm.secrets import op3_secret_scans
 from stratalog.llm.token_output import op7_token_output
+from stratalog.llm.urls import ORACLE as URL_SQL
+from stratalog.llm.urls import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
     "op3_secret_scans": op3_secret_scans,
     "op4_media_columns": op4_media_columns,
     "op6_language_id": op6_language_id,
     "op7_token_output": op7_token_output,
+    "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filters": URL_SQL,
     "op9_quality_rules": QUALITY_SQL,
 }
