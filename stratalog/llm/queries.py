@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.llm.langid import op6_language_id
 from stratalog.llm.media import op4_media_columns
 from stratalog.llm.mixing import op8_source_mixing
+from stratalog.llm.near_dup import op1_near_dup
 from stratalog.llm.pieces import op10_sentencepiece
 from stratalog.llm.quality import ORACLE as QUALITY_SQL
 from stratalog.llm.quality import op9_quality_rules
@@ -18,6 +19,7 @@ from stratalog.llm.urls import ORACLE as URL_SQL
 from stratalog.llm.urls import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dup": op1_near_dup,
     "op2_url_filters": op2_url_filters,
     "op3_secret_scans": op3_secret_scans,
     "op4_media_columns": op4_media_columns,
