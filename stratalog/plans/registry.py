@@ -1,4 +1,260 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Every query runs the code path of its operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.functions.streams import parse_stream_tags_column
+from stratalog.functions.times import day_bounds, format_ns_column, parse_time_column
+from stratalog.model import DeleteSpec, Options, QuerySpec
+from stratalog.operators import catalog, output, skipindex, tombstones
+from stratalog.operators.predicates import filter_rows
+from stratalog.plans.views import FIELDS, conversations, documents, event_rows, event_table, events, scratch
+from stratalog.sources.ingest import read_ndjson
+from stratalog.sources.table import LogTable
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_LOG = """(SELECT event_id, epoch_us(ts) * 1000 AS time_ns, strftime(ts, '%Y%m%d') AS day, props AS msg, event_type AS service,
+  'h' || CAST(user_id % 4 AS VARCHAR) AS host, 'host=h' || CAST(user_id % 4 AS VARCHAR) || ',service=' || event_type AS stream FROM events)"""
+_COLUMNS = "event_id, time_ns, stream, msg"
+_ALL = f"SELECT {_COLUMNS} FROM {_LOG}"
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Columns that the SQL has too; from a table, event_id is among the fields."""
+    own = F.col("event_id") if "event_id" in rows.columns else F.element_at("fields", "event_id").cast("long")
+    return rows.select(own.alias("event_id"), F.col("_time_ns").alias("time_ns"), F.col("_stream").alias("stream"), F.col("_msg").alias("msg"))
+
+
+def over_events(name: str, spec: QuerySpec, where: str) -> None:
+    """A query over the events view, with day predicates for pruning."""
+    register(f"{_ALL} WHERE {where}", name)(lambda spark, sf: shown(filter_rows(events(spark, sf), spec, FIELDS)))
+
+
+DAY5, DAY7 = day_bounds("20240105")[0], day_bounds("20240107")[1]
+over_events("scan_all", QuerySpec(), "true")
+over_events("stream_eq_one", QuerySpec(stream_eq={"service": "error"}), "service = 'error'")
+over_events("stream_eq_wildcard", QuerySpec(stream_eq={"service": "error", "host": ""}), "service = 'error'")
+over_events("stream_eq_subset_and", QuerySpec(stream_eq={"service": "error", "host": "h1"}), "service = 'error' AND host = 'h1'")
+over_events("stream_eq_unknown", QuerySpec(stream_eq={"service": "nope"}), "service = 'nope'")
+over_events("stream_eq_not_a_stream_field", QuerySpec(stream_eq={"user": "1"}), "false")
+over_events("contains_events", QuerySpec(contains="69"), "contains(msg, '69')")
+over_events("flagship_view", QuerySpec(DAY5, DAY7, {"service": "error"}, "6"), "day BETWEEN '20240105' AND '20240107' AND service = 'error' AND contains(msg, '6')")
+
+
+@register(f"{_ALL} WHERE day BETWEEN '20240105' AND '20240107' AND service = 'error' AND contains(msg, '6')")
+def flagship(spark, sf):
+    """Time range, stream tag and substring, over a stored table."""
+    return shown(event_table(spark, sf).search(QuerySpec(DAY5, DAY7, {"service": "error"}, "6")))
+
+
+@register(f"WITH l AS {_LOG} SELECT {_COLUMNS} FROM l WHERE time_ns BETWEEN (SELECT time_ns FROM l WHERE event_id = 1000) AND (SELECT time_ns FROM l WHERE event_id = 2000)")
+def time_range_inclusive(spark, sf):
+    rows = events(spark, sf)
+    ends = rows.where(F.col("event_id").isin(1000, 2000)).agg(F.min_by("_time_ns", "event_id"), F.max_by("_time_ns", "event_id"), F.count("*")).first()
+    found = ends if ends[2] == 2 else (1, 0)
+    return shown(filter_rows(rows, QuerySpec(found[0], found[1]), FIELDS))
+
+
+@register(f"{_ALL} WHERE day >= '20240120'")
+def time_range_open_end(spark, sf):
+    return shown(event_table(spark, sf).search(QuerySpec(start_ns=day_bounds("20240120")[0])))
+
+
+def over_documents(name: str, needle: str) -> None:
+    register(f"SELECT doc_id, 'lang=' || lang || ',source=' || source AS stream FROM documents WHERE contains(text, '{needle}')", name)(
+        lambda spark, sf: filter_rows(documents(spark, sf), QuerySpec(contains=needle), ("lang", "source")).select("doc_id", F.col("_stream").alias("stream"))
+    )
+
+
+over_documents("contains_case", "License")
+over_documents("contains_metachar", "%")
+over_documents("contains_utf8", "über")
+
+
+@register(f"SELECT event_id, time_ns, stream, msg FROM {_LOG} WHERE service = 'click' ORDER BY time_ns, event_id LIMIT 100")
+def limit_topk(spark, sf):
+    return shown(filter_rows(events(spark, sf), QuerySpec(stream_eq={"service": "click"}), FIELDS).orderBy("_time_ns", "event_id").limit(100))
+
+
+@register("SELECT least(count(*), 100) AS n FROM events WHERE event_type = 'click'")
+def limit_any(spark, sf):
+    """Any 100 rows; only their number is fixed."""
+    return event_table(spark, sf).search(QuerySpec(stream_eq={"service": "click"}, limit=100)).agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT day, count(*) AS n FROM {_LOG} GROUP BY day")
+def partition_days(spark, sf):
+    return events(spark, sf).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT day, stream, min(time_ns) AS time_min_ns, max(time_ns) AS time_max_ns, count(*) AS n FROM {_LOG} GROUP BY day, stream")
+def block_refs(spark, sf):
+    return catalog.block_refs(events(spark, sf)).select("day", F.col("_stream").alias("stream"), "time_min_ns", "time_max_ns", F.col("rows").alias("n"))
+
+
+@register(f"SELECT day, min(time_ns) AS time_min_ns, max(time_ns) AS time_max_ns, count(*) AS n FROM {_LOG} GROUP BY day")
+def part_stats(spark, sf):
+    return event_table(spark, sf).parts().select("day", "time_min_ns", "time_max_ns", F.col("rows").alias("n"))
+
+
+@register(f"WITH l AS {_LOG} SELECT DISTINCT 'service=' || service AS tag, stream FROM l UNION SELECT DISTINCT 'host=' || host, stream FROM l")
+def stream_by_tag(spark, sf):
+    return catalog.by_tag(events(spark, sf), FIELDS, "_stream").select("tag", F.col("_stream").alias("stream"))
+
+
+@register(f"WITH l AS {_LOG} SELECT DISTINCT 'service=' || service AS tag, day FROM l UNION SELECT DISTINCT 'host=' || host, day FROM l")
+def day_by_tag(spark, sf):
+    return catalog.by_tag(events(spark, sf), FIELDS, "day")
+
+
+@register(f"WITH l AS {_LOG}, t AS (SELECT DISTINCT 'service=' || service AS tag, day FROM l UNION SELECT DISTINCT 'host=' || host, day FROM l) SELECT tag, CAST(count(*) AS BIGINT) AS n, string_agg(day, ',' ORDER BY day) AS days FROM t GROUP BY tag")
+def posting_lists(spark, sf):
+    lists = catalog.posting_lists(catalog.by_tag(events(spark, sf), FIELDS, "day"), "day")
+    return lists.select("tag", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("days"))
+
+
+@register(f"{_ALL} WHERE NOT (service = 'error' AND contains(msg, '69'))")
+def tombstone_one(spark, sf):
+    table = event_table(spark, sf)
+    table.delete(DeleteSpec(stream_eq={"service": "error"}, contains="69"))
+    return shown(table.search(QuerySpec()))
+
+
+@register(f"{_ALL} WHERE NOT (day = '20240103' AND contains(msg, '6')) AND NOT (day = '20240110' AND service = 'view' AND host = 'h2')")
+def tombstone_many_days(spark, sf):
+    table = event_table(spark, sf)
+    table.delete(DeleteSpec(*day_bounds("20240103"), contains="6"))
+    table.delete(DeleteSpec(*day_bounds("20240110"), stream_eq={"service": "view", "host": "h2"}))
+    return shown(table.search(QuerySpec()))
+
+
+@register(f"{_ALL} WHERE service = 'error' AND contains(msg, '69')")
+def tombstone_hidden(spark, sf):
+    """The rows that a tombstone hides, as the counter of suppressed rows takes them."""
+    rows = events(spark, sf)
+    days = [r["day"] for r in rows.select("day").distinct().collect()]
+    found = tombstones.records(DeleteSpec(stream_eq={"service": "error"}, contains="69"), days, 1, 0)
+    return shown(tombstones.apply(rows, found, FIELDS, keep_hidden=True))
+
+
+@register(f"{_ALL} WHERE day >= '20240118'")
+def retention_keep(spark, sf):
+    from datetime import timedelta
+
+    table = event_table(spark, sf, retention=timedelta(days=12))
+    table.apply_retention(day_bounds("20240130")[0])
+    return shown(table.search(QuerySpec()))
+
+
+@register(f"SELECT DISTINCT day FROM {_LOG} WHERE day < '20240118'")
+def retention_dropped(spark, sf):
+    from datetime import timedelta
+
+    table = event_table(spark, sf, retention=timedelta(days=12))
+    return spark.createDataFrame([(d,) for d in table.apply_retention(day_bounds("20240130")[0])], "day string")
+
+
+@register(f"{_ALL} WHERE event_id % 10 <> 0 UNION ALL {_ALL} WHERE event_id % 10 = 0")
+def mem_union_disk(spark, sf):
+    """Nine tenths stored, the rest still in the tip."""
+    table = LogTable.open(spark, scratch(spark, "tip"), Options(FIELDS, max_rows_per_block=1 << 40))
+    rows = event_rows(spark, sf)
+    tenth = F.pmod(F.element_at("fields", "event_id").cast("long"), F.lit(10)) == 0
+    table.append_frame(rows.where(~tenth))
+    table.append((r["_time_ns"], {"_msg": r["_msg"], "service": r["tag_service"], "host": r["tag_host"], **r["fields"]}) for r in rows.where(tenth).toLocalIterator())
+    return shown(table.search(QuerySpec()))
+
+
+@register("SELECT doc_id, 'lang=' || lang || ',source=' || source AS stream FROM documents")
+def stream_ids(spark, sf):
+    return documents(spark, sf).select("doc_id", F.col("_stream").alias("stream"))
+
+
+@register("SELECT doc_id, lang, source FROM documents")
+def stream_tags(spark, sf):
+    """Tags read back from stream ids."""
+    tags = parse_stream_tags_column(F.col("_stream"))
+    return documents(spark, sf).select("doc_id", F.element_at(tags, "lang").alias("lang"), F.element_at(tags, "source").alias("source"))
+
+
+@register(f"SELECT CAST(count(DISTINCT day || stream) AS BIGINT) AS blocks_seen, count(*) AS rows_scanned, count(*) FILTER (contains(msg, '69')) AS rows_returned FROM {_LOG}")
+def query_stats(spark, sf):
+    """Counters of a substring query without the trigram index, so that every block is scanned."""
+    _, stats = event_table(spark, sf, skip_index=False).search_with_stats(QuerySpec(contains="69"))
+    return spark.createDataFrame([(stats.blocks_seen, stats.rows_scanned, stats.rows_returned)], "blocks_seen long, rows_scanned long, rows_returned long")
+
+
+@register("SELECT conv_id, turn, 'role=' || role AS stream FROM conversations WHERE role = 'assistant' AND contains(text, 'the')")
+def conversations_stream(spark, sf):
+    return filter_rows(conversations(spark, sf), QuerySpec(stream_eq={"role": "assistant"}, contains="the"), ("role",)).select("conv_id", "turn", F.col("_stream").alias("stream"))
+
+
+@register(_ALL)
+def compaction_scan(spark, sf):
+    """Four parts a day merged into one, tombstones and rows untouched."""
+    table = event_table(spark, sf, parts=4)
+    table.force_merge("20240105")
+    table.merge_pass()
+    table.vacuum()
+    return shown(LogTable.open(spark, table.root, table.options).search(QuerySpec()))
+
+
+for _on in (True, False):
+
+    @register(f"{_ALL} WHERE contains(msg, ': 69')", f"trigram_{'on' if _on else 'off'}")
+    def _trigram(spark, sf, on=_on):
+        return shown(event_table(spark, sf, skip_index=on).search(QuerySpec(contains=": 69")))
+
+
+@register("SELECT doc_id FROM documents WHERE contains(text, 'über')")
+def trigram_candidates(spark, sf):
+    """Rows whose trigrams may hold a substring, verified: the index alone would keep a few more."""
+    needed = F.array(*map(F.lit, skipindex.needle_places(spark, "über")))
+    rows = documents(spark, sf).where(F.size(F.array_except(needed, skipindex.places(F.col("_msg")))) == 0)
+    return filter_rows(rows, QuerySpec(contains="über"), ("lang", "source")).select("doc_id")
+
+
+@register(_ALL)
+def streaming_replay(spark, sf):
+    """Events as files of JSON lines, streamed in twice from one checkpoint: nothing is lost or doubled."""
+    from stratalog.streaming.ingest import start
+
+    folder = scratch(spark, "stream")
+    output.to_ndjson(event_rows(spark, sf), FIELDS).repartition(3).write.text(f"{folder}/in")
+    table = LogTable.open(spark, f"{folder}/table", Options(FIELDS))
+    for _ in range(2):
+        start(spark.readStream.schema("value string").text(f"{folder}/in"), table, f"{folder}/checkpoint", "events").awaitTermination()
+    return shown(table.search(QuerySpec()))
+
+
+@register(_ALL)
+def ndjson_round_trip(spark, sf):
+    """Rows written as JSON lines, and decoded and normalised again."""
+    folder = scratch(spark, "lines")
+    output.to_ndjson(event_rows(spark, sf), FIELDS).write.text(folder)
+    return shown(read_ndjson(spark, folder, FIELDS))
+
+
+@register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS text, epoch_us(ts) * 1000 AS time_ns FROM events")
+def time_format_and_parse(spark, sf):
+    text = events(spark, sf).select("event_id", format_ns_column(F.col("_time_ns")).alias("text"))
+    return text.withColumn("time_ns", parse_time_column(F.col("text")))
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
