@@ -49,7 +49,7 @@ class LogTable:
         self._workers: list[threading.Thread] = []
         self._tip: list[dict] = []
         self._retired: list[str] = []
-        self._wal_seq = 0
+        self._wal_seq = self._used_part = 0
         self._snapshot = dict(_EMPTY)
 
     # -- opening and closing -------------------------------------------------------------------------------
@@ -168,7 +168,7 @@ class LogTable:
         with self._lock:
             if batch and self._snapshot["batches"].get(batch[0], -1) >= batch[1]:
                 return []
-            first = self._snapshot["next_part"]
+            first = self._new_part()
             stamped = rows.withColumn("day", day_column(F.col("_time_ns"))).withColumn("part_id", F.lit(first).cast("long"))
             made = self._write(stamped, first)
             parts = {d: list(ps) for d, ps in self._snapshot["parts"].items()}
@@ -179,6 +179,11 @@ class LogTable:
             self._publish(parts=parts, next_part=first + 1, **changes)
             return [p["id"] for p in made]
 
+    def _new_part(self) -> int:
+        """An id that no write had before, failed ones included: their files stay invisible, and never mix with others."""
+        self._used_part = max(self._used_part, self._snapshot["next_part"] - 1) + 1
+        return self._used_part
+
     def _write(self, stamped: DataFrame, part_id: int) -> list[dict]:
         """Files of a part, its trigram index, and its statistics by day, read back from what was written."""
         names = [f.name for f in row_schema(self.fields, True)]
@@ -327,7 +332,7 @@ class LogTable:
         if len(small) < least:
             return False
         inputs = small[: self.options.merge_max_parts]
-        new_id = self._snapshot["next_part"]
+        new_id = self._new_part()
         rows = self._scan([f"{self.root}/parts/day={day}/part_id={p['id']}" for p in inputs])
         made = self._write(rows.drop("part_id").withColumn("part_id", F.lit(new_id).cast("long")), new_id)
         gone = {p["id"] for p in inputs}
