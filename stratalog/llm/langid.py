@@ -98,6 +98,8 @@ class Model:
 
 def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     number = {name: i for i, name in enumerate(languages)}
+    if not rows:
+        return {}, np.zeros((0, len(languages)), np.float32)
     counts = np.zeros((len(rows), len(languages)))
     for i, r in enumerate(rows):
         for lang, n in r["by"]:

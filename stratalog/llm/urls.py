@@ -68,7 +68,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     frequent = single.groupBy("token").count().where(F.col("count") >= least)
     ranked = single.join(frequent, "token").groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "token"))), 1, MINED_TOKENS)["token"].alias("kept"))
     baskets = ranked.join(labelled.select("row", "bad"), "row").select(F.when(F.col("bad"), F.concat("kept", F.array(F.lit(BAD)))).otherwise(F.col("kept")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=least / max(1, n), minConfidence=min_confidence).fit(baskets).freqItemsets.where(F.col("freq") >= least)
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, n)), minConfidence=min_confidence).fit(baskets).freqItemsets.where(F.col("freq") >= least)
     sets = materialise(sets.where(F.size("items") <= MAX_TOKENS + 1).select(F.array_sort(F.array_except("items", F.array(F.lit(BAD)))).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"), "url-itemsets")
     whole = sets.where(~F.col("bad")).select("tokens", F.col("freq").alias("n"))
     rules = sets.where(F.col("bad") & (F.size("tokens") > 0)).select("tokens", F.col("freq").alias("n_bad")).join(whole, "tokens")
