@@ -116,11 +116,8 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def choose_cutoffs(holdout: DataFrame, stratum: str = "stratum", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """(stratum, one cutoff column per rule, null where it has none) from good documents' features."""
     counts = [F.count_if(rejects(F.col(feature), sign, F.lit(c))).alias(f"{name}_{j}") for name, feature, sign, cuts in RULES for j, c in enumerate(cuts)]
-    by = holdout.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *counts)
-    strata = by.agg(F.count(F.lit(1)).alias("strata"))
-    # One row, the number of strata, joined by a constant key.
-    by = by.withColumn("__one", F.lit(1)).join(F.broadcast(strata.withColumn("__one", F.lit(1))), "__one")
-    level = F.lit(error) / (F.col("strata") * len(RULES))
+    by = materialise(holdout.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *counts), "quality-counts")
+    level = F.lit(error / max(1, by.count() * len(RULES)))
     out = [F.col(stratum)]
     for name, _, _, cuts in RULES:
         passed = F.lit(True)
