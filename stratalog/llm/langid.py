@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.session import materialise, ship, table
+from stratalog.llm.session import materialise, ship, table, tidy
 
 ORDERS = (4, 3, 2, 1)
 #: Labelled rows that the counts are fitted on, about; kept by a hash of the key, so spread over all rows.
@@ -39,7 +39,7 @@ SMOOTHING = 0.1
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a worker keeps.
-_KEPT = 1 << 17
+_KEPT = 1 << 15
 
 
 def words_in(text: str | None) -> Counter:
@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", train_rows: int = TRAIN_ROWS)
     rate = min(1.0, train_rows / n) if n else 1.0
     kept = usable.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 20)) < math.ceil(rate * (1 << 20)))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, Counter] = {}
@@ -132,6 +133,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", train_rows: int = TRAIN_ROWS)
             for lang, counts in found.items():
                 yield pa.record_batch([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "unit", "n"])
 
+    @tidy
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
@@ -157,6 +159,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

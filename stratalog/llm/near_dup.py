@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.session import materialise, ship, table
+from stratalog.llm.session import materialise, ship, table, tidy
 from stratalog.llm.words import U, Block, blocks, mix, span_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -73,6 +73,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     """A factor in [IDF_FLOOR, 1] for each bin of shingles, from the texts of all rows."""
     ship(texts.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BINS, np.int64), 0
         for block in blocks(batches):
@@ -127,6 +128,7 @@ def sketch(docs: DataFrame, factor: np.ndarray) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(factor)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         variates = _variates()
         for block in blocks(batches):
@@ -156,6 +158,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             some, named = names(block)
@@ -193,6 +196,7 @@ def verify(pairs: DataFrame, sets: DataFrame, factor: np.ndarray, similarity: fl
     """pairs (a, b) with similar: whether their sets' weighted, or plain, Jaccard similarity reaches ``similarity``."""
     shared = pairs.sparkSession.sparkContext.broadcast(factor)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, last, held = [], None, None

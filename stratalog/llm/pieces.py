@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.session import ship, table
+from stratalog.llm.session import ship, table, tidy
 from stratalog.llm.words import U, mix, slices, span_hashes
 
 _BASE = 0xB5297A4D3F84D5A3
@@ -273,6 +273,7 @@ def encode_pieces(docs: DataFrame, model_path: str, seed: int = 0, sharpness: fl
     """
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path, sharpness)
         for batch in batches:
@@ -302,6 +303,7 @@ def decode_pieces(coded: DataFrame, model_path: str, key: str = "doc_id") -> Dat
     """(key, text) from (key, pieces)."""
     ship(coded.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path, 1.0)
         for batch in batches:

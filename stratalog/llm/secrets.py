@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.session import materialise, ship, table
+from stratalog.llm.session import materialise, ship, table, tidy
 
 KINDS = ("assign", "access", "hex", "network")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -189,6 +189,7 @@ def labelled_findings(docs: DataFrame, key: str, train_docs: int = TRAIN_DOCS, p
     rate = min(1.0, train_docs / n) if n else 1.0
     kept = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("secrets")), F.lit(1 << 20)) < math.ceil(rate * (1 << 20)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = set()
@@ -239,6 +240,7 @@ def scan(docs: DataFrame, net: Network | None, key: str = "doc_id") -> DataFrame
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -267,6 +269,7 @@ def redact(docs: DataFrame, net: Network | None, text: str = "text", mark: str =
             at = max(at, e)
         return "".join([*out, t[at:]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).to_pylist()
