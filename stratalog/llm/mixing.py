@@ -9,7 +9,7 @@ coordinates scaled by the domains' own masses, which makes the problem well cond
 The rates are one number per document, but the gradient depends on a document only through its
 posterior and the K residuals. So an iteration is one aggregate over the table (K sums to the
 driver), and a document's rate is a fold over the residuals since the rates were last
-written: no rate is ever shuffled.
+written, in the end over all of them: no rate is ever shuffled, and no text is written again.
 
 A null or empty text has no tokens; it counts nowhere and keeps rate 1. Without labelled rows of two
 domains or more there is one domain, ``all``, and every rate is 1. A null key is like any other key.
@@ -109,16 +109,18 @@ def fit_rates(found: Posteriors, shares: dict[str, float], iterations: int = ITE
     weight = sum((F.col("posterior")[k] * F.lit(1 / m if m else 0.0) for k, m in enumerate(mass)), F.lit(0.0))
     gram = rows.agg(*[F.sum(F.col("tokens") * weight * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"g{i}_{j}") for i in ks for j in ks]).first()
     bound = max(sum(abs(gram[f"g{i}_{j}"]) for j in ks) for i in ks)
-    held, steps, now = plain, [], mass
+    # The iterations carry no column but what they need; the rows themselves get their rate once, from all steps.
+    held, every, steps, now = plain.select("tokens", "posterior", "rate"), [], [], mass
     for _ in range(iterations):
         residual = [e - t for e, t in zip(now, target)]
         if max(abs(r) for r in residual) <= tolerance * total:
             break
         steps.append([r / bound for r in residual])
+        every.append(steps[-1])
         if len(steps) == FOLDED:
             held, steps = materialise(held.withColumn("rate", _fold(F.col("rate"), steps, weight, len(domains))), "mixing-rates"), []
         now = [x or 0.0 for x in held.agg(*expected(_fold(F.col("rate"), steps, weight, len(domains)))).first()]
-    return held.withColumn("rate", _fold(F.col("rate"), steps, weight, len(domains))), dict(zip(domains, now)), dict(zip(domains, target))
+    return plain.withColumn("rate", _fold(F.col("rate"), every, weight, len(domains))), dict(zip(domains, now)), dict(zip(domains, target))
 
 
 def copies(rate: Column, key: Column, seed: int = 0) -> Column:
