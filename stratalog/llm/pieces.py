@@ -31,6 +31,8 @@ from stratalog.llm.words import U, mix, slices, span_hashes
 
 _BASE = 0xB5297A4D3F84D5A3
 BLANK = "▁"
+#: Bytes of text whose lattices are held at once; what a row gives doesn't depend on it.
+BLOCK_BYTES = 1 << 19
 
 
 class Model:
@@ -277,7 +279,7 @@ def encode_pieces(docs: DataFrame, model_path: str, seed: int = 0, sharpness: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path, sharpness)
         for batch in batches:
-            for rows, data, offsets in slices(batch, 1 << 21):
+            for rows, data, offsets in slices(batch, BLOCK_BYTES):
                 ids, at = sample(data, offsets, row_key(rows.column("key")), model, seed)
                 text, bounds = restore(ids, at, model)
                 n = len(at) - 1
