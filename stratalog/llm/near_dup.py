@@ -10,8 +10,9 @@ copies makes its own shingles frequent, and a steep idf would let the few words
    text. Two texts of weighted Jaccard similarity s agree in each with probability s. Its random
    variates come from tables, at a place that depends on the shingle and the draw.
 3. Texts that agree in all rows of a band share a bucket. Every text of a bucket is paired with the
-   bucket's leader (the least name), not with every other. Those that the leader turns down form
-   the bucket anew with a leader of their own, round by round, until no text is turned down or ``ROUNDS`` are over.
+   bucket's leader (the least name), not with every other. Those that all leaders turn down form the
+   bucket anew, round by round, until none is left. Each round has twice as many leaders as the one before
+   (``MOST_LEADERS`` at most), so that very mixed buckets too end after few rounds.
 4. Pairs are verified by the weighted Jaccard similarity of their whole shingle sets. One whose plain
    similarity reaches the limit passes too, so that no weight turns down what the limit itself lets in.
 5. Classes are the connected components, by label propagation over the links, with pointer jumping.
@@ -26,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.session import materialise, ship, table, tidy
 from stratalog.llm.words import U, Block, blocks, mix, span_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, ROUNDS = 10, 4, 3
+BANDS, ROWS = 10, 4
+#: Leaders of a bucket in one round; up to this many Spark keeps the least names before it shuffles.
+MOST_LEADERS = 512
 BINS, IDF_FLOOR = 1 << 17, 0.8
 _TABLE = 1 << 14
 _NAME_BASES = (0xD1342543DE82EF93, 0xA0761D6478BD642F)
@@ -211,30 +214,40 @@ def verify(pairs: DataFrame, sets: DataFrame, factor: np.ndarray, similarity: fl
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary, similar boolean")
 
 
-def links_of(texts: DataFrame, docs: DataFrame, factor: np.ndarray, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+def _next_leaders(rest: DataFrame, n: int) -> DataFrame:
+    """(band, key, leader, top): the ``n`` least names left in each bucket of two or more, and the greatest of these."""
+    bucket = Window.partitionBy("band", "key")
+    ranked = rest.withColumn("place", F.row_number().over(bucket.orderBy("name"))).where(F.col("place") <= n)
+    return ranked.select("band", "key", F.col("name").alias("leader"), F.max("name").over(bucket).alias("top"))
+
+
+def links_of(texts: DataFrame, docs: DataFrame, factor: np.ndarray, similarity: float) -> DataFrame:
     """(a, b): verified links between the names of different texts; texts has (name, bands)."""
     members = texts.select("name", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("name").alias("leader"), F.max("name").alias("last")).where(F.col("leader") < F.col("last"))
-    leaders = materialise(buckets.select("band", "key", "leader"), "near-leaders")
-    open_ = materialise(members.join(leaders, ["band", "key"]).where(F.col("name") != F.col("leader")), "near-members")
-    ends = open_.select("name").union(leaders.select(F.col("leader").alias("name"))).distinct()
-    sets = materialise(shingle_sets(docs).join(ends, "name", "left_semi").dropDuplicates(["name"]), "near-sets")
-    done = None
-    for k in range(rounds):
-        pairs = open_.select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
+    leaders = materialise(buckets.select("band", "key", "leader", F.col("leader").alias("top")), "near-leaders")
+    rest, sets, done, n = members, None, None, 1
+    while True:
+        faced = rest.join(leaders, ["band", "key"]).where(F.col("leader") < F.col("name"))
+        faced = materialise(faced.select("name", "band", "key", "leader", (F.col("name") <= F.col("top")).alias("leads")), "near-faced")
+        if sets is None:
+            ends = faced.select("name").union(leaders.select(F.col("leader").alias("name"))).distinct()
+            sets = materialise(shingle_sets(docs).join(ends, "name", "left_semi").dropDuplicates(["name"]), "near-sets")
+        if done is not None and faced.isEmpty():
+            break
+        pairs = faced.select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        judged = materialise(verify(pairs, sets, factor, similarity), f"near-judged-{k}")
+        judged = materialise(verify(pairs, sets, factor, similarity), "near-judged")
         done = judged if done is None else done.union(judged)
-        if k + 1 == rounds:
-            break
-        # Whom its leader turned down stays in the bucket, under a leader of its own.
-        left = open_.join(done.where(~F.col("similar")).select(F.col("a").alias("name"), F.col("b").alias("leader")), ["name", "leader"], "left_semi")
-        again = left.groupBy("band", "key").agg(F.min("name").alias("next"), F.max("name").alias("last")).where(F.col("next") < F.col("last")).select("band", "key", "next")
-        again = materialise(again, f"near-leaders-{k}")
-        open_ = materialise(left.join(again, ["band", "key"]).where(F.col("name") != F.col("next")).select("name", "band", "key", F.col("next").alias("leader")), f"near-members-{k}")
-        if open_.isEmpty():
+        # Whom all its leaders turned down stays in the bucket, under leaders of its own; leaders themselves have met all.
+        met = faced.where(~F.col("leads")).join(done.select(F.col("a").alias("name"), F.col("b").alias("leader"), "similar"), ["name", "leader"])
+        rest = met.groupBy("name", "band", "key").agg(F.max("similar").alias("taken")).where(~F.col("taken")).select("name", "band", "key")
+        rest = materialise(rest, "near-members")
+        if rest.isEmpty():
             break
+        n = min(2 * n, MOST_LEADERS)
+        leaders = materialise(_next_leaders(rest, n), "near-leaders")
     return done.where("similar").select("a", "b")
 
 

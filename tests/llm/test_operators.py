@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import langid, media, mixing, near_dup, pieces, quality, rans, secrets, substring_dedup, token_output, urls
 from stratalog.llm.automaton import SuffixAutomaton
@@ -71,6 +72,21 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
+def test_a_mixed_bucket_loses_no_link(spark):
+    """Forty texts with a near copy each, all in one bucket: more rounds than a few, and each pair is found."""
+    r = random.Random(5)
+    rows = []
+    for k in range(40):
+        own = [f"w{k}_{r.randrange(10**6)}" for _ in range(120)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    factor = near_dup.document_frequencies(docs)
+    named = near_dup.sketch(docs, factor).select("doc_id", "name").cache()
+    of = {bytes(x["name"]): x["doc_id"] for x in named.collect()}
+    links = near_dup.links_of(named.select("name", F.array(F.lit(1).cast("long")).alias("bands")), docs, factor, 0.8).collect()
+    assert sorted(tuple(sorted((of[bytes(x["a"])], of[bytes(x["b"])]))) for x in links) == [(2 * k, 2 * k + 1) for k in range(40)]
+
+
 def test_near_duplicates_match_brute_force(docs):
     sets = [shingle_set(t) for _, t, *_ in ROWS]
     parent = list(range(len(ROWS)))
