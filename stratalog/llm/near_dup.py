@@ -9,10 +9,10 @@ copies makes its own shingles frequent, and a steep idf would let the few words
 2. Improved consistent weighted sampling draws ``BANDS * ROWS`` (shingle, level) pairs of each
    text. Two texts of weighted Jaccard similarity s agree in each with probability s. Its random
    variates come from tables, at a place that depends on the shingle and the draw.
-3. Texts that agree in all rows of a band share a bucket. Every text of a bucket is paired with the
-   bucket's leader (the least name), not with every other. Those that all leaders turn down form the
-   bucket anew, round by round, until none is left. Each round has twice as many leaders as the one before
-   (``MOST_LEADERS`` at most), so that very mixed buckets too end after few rounds.
+3. Texts that agree in all rows of a band share a bucket. Every text of a bucket is first paired with the
+   bucket's leader (the least name), which joins most of a group of copies. Then every two texts of a bucket that
+   these links leave in different components are compared, whether a leader took them or not: in parts of
+   bounded size, the bucket's largest component against the others, and the others among themselves.
 4. Pairs are verified by the weighted Jaccard similarity of their whole shingle sets. One whose plain
    similarity reaches the limit passes too, so that no weight turns down what the limit itself lets in.
 5. Classes are the connected components, by label propagation over the links, with pointer jumping.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.session import materialise, ship, table, tidy
@@ -35,8 +35,8 @@ from stratalog.llm.words import U, Block, blocks, mix, span_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
-#: Leaders of a bucket in one round; up to this many Spark keeps the least names before it shuffles.
-MOST_LEADERS = 512
+#: Shingles of a bucket's part; two parts at most are compared at once.
+PART_SHINGLES = 1 << 18
 BINS, IDF_FLOOR = 1 << 17, 0.8
 _TABLE = 1 << 14
 _NAME_BASES = (0xD1342543DE82EF93, 0xA0761D6478BD642F)
@@ -214,41 +214,106 @@ def verify(pairs: DataFrame, sets: DataFrame, factor: np.ndarray, similarity: fl
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary, similar boolean")
 
 
-def _next_leaders(rest: DataFrame, n: int) -> DataFrame:
-    """(band, key, leader, top): the ``n`` least names left in each bucket of two or more, and the greatest of these."""
-    bucket = Window.partitionBy("band", "key")
-    ranked = rest.withColumn("place", F.row_number().over(bucket.orderBy("name"))).where(F.col("place") <= n)
-    return ranked.select("band", "key", F.col("name").alias("leader"), F.max("name").over(bucket).alias("top"))
+def _parts(faced: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, name, root, part) of the texts to be compared with texts of other components in their buckets.
+
+    A bucket's largest component (part -1) is dealt over ``mains`` parts, all other texts over ``others``. Group
+    (p, q) compares main part p with part q and, where p is 0, part q within itself; group (-1 - i, j) parts i and j.
+    """
+    rooted = faced.join(sizes, "name").join(roots, "name", "left").select("name", "band", "key", "n", F.coalesce("root", "name").alias("root"))
+    rooted = materialise(rooted, "near-rooted")
+    held = rooted.groupBy("band", "key", "root").agg(F.sum("n").alias("size"))
+    bucket = held.groupBy("band", "key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    parts = lambda size: F.ceil(size / PART_SHINGLES)
+    open_ = bucket.where(F.col("low") < F.col("high")).select("band", "key", F.col("main.root").alias("main"), parts(F.col("main.size")).alias("mains"), parts(F.col("size") - F.col("main.size")).alias("others"))
+    found = rooted.join(materialise(open_, "near-open"), ["band", "key"])
+    deal = lambda count: F.pmod(F.xxhash64("name"), count)
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    pair = lambda p, q: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"))
+    main = F.col("root") == F.col("main")
+    found = found.withColumn("part", F.when(main, -1).otherwise(deal(F.col("others"))))
+    own = F.transform(upto(F.col("mains")), lambda p: pair(p, F.col("part")))
+    apart = F.transform(F.filter(upto(F.col("others")), lambda j: j != F.col("part")), lambda j: pair(-1 - F.least(j, F.col("part")), F.greatest(j, F.col("part"))))
+    groups = F.when(main, F.transform(upto(F.col("others")), lambda q: pair(deal(F.col("mains")), q))).otherwise(F.concat(own, apart))
+    return found.withColumn("at", F.explode(groups)).select(F.struct("band", "key", "at.p", "at.q").alias("group"), "name", "root", "part")
+
+
+def across(parts: np.ndarray, roots: np.ndarray, within: bool, sets: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components (numbers) of a group's texts, as far as similar texts allow.
+
+    Texts of the same part are compared if ``within`` is set, those of part -1 never.
+    """
+    size = np.array([len(h) for h, _ in sets])
+    total = np.array([w.sum() for _, w in sets])
+    flat = np.concatenate([h for h, _ in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, weight = flat[order], np.concatenate([w for _, w in sets])[order]
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    label, links = roots.copy(), []
+    for x in np.flatnonzero(parts >= 0):
+        open_ = label != label[x]
+        if not within:
+            open_ &= parts != parts[x]
+        if not open_.any():
+            continue
+        hashes, own = sets[x]
+        low = np.searchsorted(flat, hashes, "left")
+        n = np.searchsorted(flat, hashes, "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        with_ = owner[at]
+        common = np.bincount(with_, np.minimum(np.repeat(own, n), weight[at]), len(sets))
+        both = np.bincount(with_, minlength=len(sets))
+        alike = np.maximum(common / (total[x] + total - common), both / (size[x] + size - both)) >= similarity
+        for y in np.flatnonzero(open_ & alike):
+            if label[y] != label[x]:
+                links.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def links_across(parts: DataFrame, sets: DataFrame, factor: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): links between texts of different components that share a bucket, from ``_parts``."""
+    shared = parts.sparkSession.sparkContext.broadcast(factor)
+
+    def links_in(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        _, roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)
+        group = rows[0]["group"]
+        weighed = [_weighted(r["set"], r["n"], shared.value) for r in rows]
+        for x, y in across(np.array([r["part"] for r in rows]), roots, group["p"] == 0, weighed, similarity):
+            yield max(rows[x]["name"], rows[y]["name"]), min(rows[x]["name"], rows[y]["name"])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for row in zip(*(batch.column(c) for c in batch.schema.names)):
+                row = {c: v.as_py() for c, v in zip(batch.schema.names, row)}
+                if held and row["group"] != held[0]["group"]:
+                    found += links_in(held)
+                    held = []
+                held.append(row)
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+        found = list(links_in(held)) if held else []
+        yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+    dealt = parts.join(sets, "name").select("group", "name", "root", "part", "n", "set").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def links_of(texts: DataFrame, docs: DataFrame, factor: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b): verified links between the names of different texts; texts has (name, bands)."""
+    """(a, b): verified links between the names of different texts, as many as join all similar ones that share a bucket; texts has (name, bands)."""
     members = texts.select("name", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("name").alias("leader"), F.max("name").alias("last")).where(F.col("leader") < F.col("last"))
-    leaders = materialise(buckets.select("band", "key", "leader", F.col("leader").alias("top")), "near-leaders")
-    rest, sets, done, n = members, None, None, 1
-    while True:
-        faced = rest.join(leaders, ["band", "key"]).where(F.col("leader") < F.col("name"))
-        faced = materialise(faced.select("name", "band", "key", "leader", (F.col("name") <= F.col("top")).alias("leads")), "near-faced")
-        if sets is None:
-            ends = faced.select("name").union(leaders.select(F.col("leader").alias("name"))).distinct()
-            sets = materialise(shingle_sets(docs).join(ends, "name", "left_semi").dropDuplicates(["name"]), "near-sets")
-        if done is not None and faced.isEmpty():
-            break
-        pairs = faced.select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        judged = materialise(verify(pairs, sets, factor, similarity), "near-judged")
-        done = judged if done is None else done.union(judged)
-        # Whom all its leaders turned down stays in the bucket, under leaders of its own; leaders themselves have met all.
-        met = faced.where(~F.col("leads")).join(done.select(F.col("a").alias("name"), F.col("b").alias("leader"), "similar"), ["name", "leader"])
-        rest = met.groupBy("name", "band", "key").agg(F.max("similar").alias("taken")).where(~F.col("taken")).select("name", "band", "key")
-        rest = materialise(rest, "near-members")
-        if rest.isEmpty():
-            break
-        n = min(2 * n, MOST_LEADERS)
-        leaders = materialise(_next_leaders(rest, n), "near-leaders")
-    return done.where("similar").select("a", "b")
+    leaders = materialise(buckets.select("band", "key", "leader"), "near-leaders")
+    faced = materialise(members.join(leaders, ["band", "key"]).where(F.col("leader") < F.col("name")).select("name", "band", "key", "leader"), "near-faced")
+    ends = faced.select("name").union(leaders.select(F.col("leader").alias("name"))).distinct()
+    sets = materialise(shingle_sets(docs).join(ends, "name", "left_semi").dropDuplicates(["name"]), "near-sets")
+    pairs = faced.select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
+    taken = materialise(verify(pairs, sets, factor, similarity).where("similar").select("a", "b"), "near-taken")
+    # The leaders themselves have met all of their buckets.
+    parts = _parts(faced.select("name", "band", "key"), components(taken), sets.select("name", "n"))
+    return taken.union(materialise(links_across(parts, sets, factor, similarity), "near-across"))
 
 
 def components(links: DataFrame) -> DataFrame:

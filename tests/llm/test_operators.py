@@ -87,6 +87,30 @@ def test_a_mixed_bucket_loses_no_link(spark):
     assert sorted(tuple(sorted((of[bytes(x["a"])], of[bytes(x["b"])]))) for x in links) == [(2 * k, 2 * k + 1) for k in range(40)]
 
 
+@pytest.mark.parametrize("part", [1 << 18, 500])
+def test_a_bucket_of_chains_is_one_class_each(spark, monkeypatch, part):
+    """Chains of texts, each near the next only, all in one bucket: whoever leads, a text that is taken still meets the others."""
+    monkeypatch.setattr(near_dup, "PART_SHINGLES", part)
+    r = random.Random(7)
+    rows = []
+    for k in range(12):
+        own = [f"w{k}_{r.randrange(10**6)}" for _ in range(220)]
+        rows += [(10 * k + i, " ".join(own[12 * i : 12 * i + 130])) for i in range(1 + k % 6)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(50, 51) >= 0.8 > alike(50, 52)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    factor = near_dup.document_frequencies(docs)
+    named = near_dup.sketch(docs, factor).select("doc_id", "name").cache()
+    of = {bytes(x["name"]): x["doc_id"] for x in named.collect()}
+    links = near_dup.links_of(named.select("name", F.array(F.lit(1).cast("long")).alias("bands")), docs, factor, 0.8)
+    found = defaultdict(set)
+    for x in near_dup.components(links).collect():
+        found[x["root"]].add(of[bytes(x["name"])])
+    assert all(alike(of[bytes(x["a"])], of[bytes(x["b"])]) >= 0.79 for x in links.collect())
+    assert sorted(map(sorted, found.values())) == [[10 * k + i for i in range(1 + k % 6)] for k in range(12) if k % 6]
+
+
 def test_near_duplicates_match_brute_force(docs):
     sets = [shingle_set(t) for _, t, *_ in ROWS]
     parent = list(range(len(ROWS)))
