@@ -8,8 +8,9 @@ a rule's tokens are all in, by an inverted index: a rule is kept under its rares
 a URL is compared with the rules of its own tokens alone.
 
 Tokens are the host's labels (``h:``), path segments (``p:``, a digit run as ``0``), names of query
-parameters (``q:``), and the scheme (``s:``). Mining takes the ``MINED_TOKENS`` most frequent of a
-labelled URL's tokens that are frequent at all, which bounds the itemsets; matching takes all tokens.
+parameters (``q:``), and the scheme (``s:``). Mining and matching take all tokens. For FP-growth a labelled URL of more than
+``MINED_TOKENS`` frequent tokens is dealt over baskets of that size in which any two of its tokens meet, which bounds the
+itemsets; what it finds are candidates, and their counts are made anew over the whole URLs. Rules have ``MAX_TOKENS`` = 2 tokens at most.
 
 A null URL, or one without ``://``, has an empty host and path, no tokens, and is allowed unless listed.
 """
@@ -60,19 +61,35 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(some(F.split(host, r"\."), "h:"), some(segments, "p:"), some(names, "q:"), some(scheme, "s:")))
 
 
+def baskets_of(whole: DataFrame) -> DataFrame:
+    """whole (row, kept) with, for each row, one basket of all its tokens or several of MINED_TOKENS; any two tokens of a row are in one."""
+    half = MINED_TOKENS // 2
+    part = lambda i: F.slice("kept", i * half + 1, half)
+    short = whole.where(F.size("kept") <= MINED_TOKENS).withColumn("basket", F.col("kept"))
+    long = whole.where(F.size("kept") > MINED_TOKENS).withColumn("parts", F.ceil(F.size("kept") / half).cast("int"))
+    long = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 2))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("parts") - 1)))
+    return short.union(long.withColumn("basket", F.concat(part(F.col("i")), part(F.col("j")))).select(*whole.columns, "basket"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, n, confidence) of the rules, from (row, tokens, bad) rows."""
     n = labelled.count()
     least = max(min_count, math.ceil(n * min_support))
     single = labelled.select("row", F.explode("tokens").alias("token"))
     frequent = single.groupBy("token").count().where(F.col("count") >= least)
-    ranked = single.join(frequent, "token").groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "token"))), 1, MINED_TOKENS)["token"].alias("kept"))
-    baskets = ranked.join(labelled.select("row", "bad"), "row").select(F.when(F.col("bad"), F.concat("kept", F.array(F.lit(BAD)))).otherwise(F.col("kept")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, n)), minConfidence=min_confidence).fit(baskets).freqItemsets.where(F.col("freq") >= least)
-    sets = materialise(sets.where(F.size("items") <= MAX_TOKENS + 1).select(F.array_sort(F.array_except("items", F.array(F.lit(BAD)))).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"), "url-itemsets")
-    whole = sets.where(~F.col("bad")).select("tokens", F.col("freq").alias("n"))
-    rules = sets.where(F.col("bad") & (F.size("tokens") > 0)).select("tokens", F.col("freq").alias("n_bad")).join(whole, "tokens")
-    strong = rules.withColumn("confidence", F.col("n_bad") / F.col("n")).where(F.col("confidence") >= min_confidence)
+    kept = single.join(frequent, "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    whole = materialise(kept.join(labelled.select("row", "bad"), "row"), "url-whole")
+    dealt = materialise(baskets_of(whole).select(F.when(F.col("bad"), F.concat("basket", F.array(F.lit(BAD)))).otherwise(F.col("basket")).alias("items")), "url-baskets")
+    # Half a basket less, so that rounding never asks for one more.
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, dealt.count())), minConfidence=min_confidence).fit(dealt).freqItemsets
+    sets = sets.where((F.size("items") <= MAX_TOKENS + 1) & (F.size("items") > 1) & F.array_contains("items", BAD))
+    candidates = materialise(sets.select(F.array_sort(F.array_except("items", F.array(F.lit(BAD)))).alias("tokens")), "url-itemsets")
+    one = whole.select("bad", "kept", F.posexplode("kept").alias("i", "token"))
+    rest = F.slice("kept", F.col("i") + 2, F.size("kept"))
+    picks = one.select("bad", F.explode(F.concat(F.array(F.array("token")), F.transform(rest, lambda x: F.array(F.col("token"), x)))).alias("tokens"))
+    counted = picks.join(candidates, "tokens").groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    strong = counted.where(F.col("n_bad") >= least).withColumn("confidence", F.col("n_bad") / F.col("n")).where(F.col("confidence") >= min_confidence)
+    strong = materialise(strong, "url-strong")
     # A rule of two tokens goes if one of them alone is a rule at least as sure.
     alone = strong.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("confidence").alias("sure"))
     covered = strong.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("token")).join(alone, "token").where(F.col("sure") >= F.col("confidence")).select("tokens")

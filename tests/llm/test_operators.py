@@ -192,6 +192,30 @@ def test_mined_rules_match_brute_force(spark):
     assert found == {i: bool(u) and any(p <= tokens[u] for p in rules) for i, u, _ in pages}
 
 
+def test_long_urls_are_mined_whole(spark):
+    """Rules on the rarest tokens of long URLs are found, and long good URLs count against those of short ones."""
+    common = "".join(f"&c{k}=1" for k in range(14))
+    made = [(f"http://a.b.net/x?u=1{common}" + ("&evil=1" if i < 12 else ""), i < 12) for i in range(60)]
+    made += [("http://a.b.net/x?trap=1", True) for _ in range(9)] + [(f"http://a.b.net/x?trap=1{common}", False) for _ in range(9)]
+    made += [(f"http://a.b.net/x?left=1{common}{r}", bad) for r, bad, n in (("&right=1", True, 9), ("", False, 9)) for _ in range(n)] + [(f"http://a.b.net/x?right=1{common}", False) for _ in range(9)]
+    pages = spark.createDataFrame([(i, u, "") for i, (u, _) in enumerate(made)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(made)], LABELS)
+    tokens = urls.tokens_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    rows = pages.join(labels, pages.page_id == labels.doc_id).select("page_id", tokens.alias("tokens"), (F.col("quality") == 0).alias("bad")).withColumn("row", F.struct("page_id"))
+    known = [(set(r["tokens"]), r["bad"]) for r in rows.collect()]
+    single = {t for t, n in Counter(t for ts, _ in known for t in ts).items() if n >= urls.MIN_COUNT}
+    rules = {}
+    for pick in {tuple(sorted({a, b})) for ts, _ in known for a in ts & single for b in ts & single}:
+        n, k = sum(set(pick) <= ts for ts, _ in known), sum(set(pick) <= ts and y for ts, y in known)
+        if k >= urls.MIN_COUNT and k / n >= urls.MIN_CONFIDENCE:
+            rules[pick] = (n, k / n)
+    expected = {p: x for p, x in rules.items() if len(p) == 1 or all(rules.get((t,), (0, 0))[1] < x[1] for t in p)}
+    assert ("q:evil",) in expected and ("q:left", "q:right") in expected and ("q:trap",) not in expected
+    assert {tuple(r["tokens"]): (r["n"], r["confidence"]) for r in urls.mine(rows).collect()} == expected
+    found = {r["page_id"]: r["mined"] for r in urls.judge(pages, labels).collect()}
+    assert found == {i: any(set(p) <= ts for p in rules) for i, ts in ((r["page_id"], set(r["tokens"])) for r in rows.collect())}
+
+
 # -- op3 --------------------------------------------------------------------------------------------------------
 
 
