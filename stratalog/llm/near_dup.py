@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.session import materialise, ship, table, tidy
@@ -126,8 +126,13 @@ def draws(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, variates: lis
     return doc[first], out
 
 
+def mark_of(text: Column) -> Column:
+    """A hash of 128 bits of a whole text."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
 def sketch(docs: DataFrame, factor: np.ndarray) -> DataFrame:
-    """(doc_id, name, bands): the name of each row's words and, for those with words, a key for each band."""
+    """(doc_id, mark, name, bands): a hash of each row's text, the name of its words and, for those with words, a key for each band."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(factor)
 
@@ -148,10 +153,10 @@ def sketch(docs: DataFrame, factor: np.ndarray) -> DataFrame:
                 keys[some], have[some] = band.view(np.int64), True
             size = np.where(have, BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys[have].ravel(), pa.int64()))
-            yield pa.record_batch([block.rows.column("doc_id"), pa.array(named, pa.binary()), bands], ["doc_id", "name", "bands"])
+            yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("mark"), pa.array(named, pa.binary()), bands], ["doc_id", "mark", "name", "bands"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, name binary, bands array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, mark binary, name binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -334,7 +339,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_name) of every row of docs (doc_id, text); class_name is null for a row without words."""
+    """(doc_id, mark, class_id, class_name) of every row of docs (doc_id, text); class_name is null for a row without words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     factor = document_frequencies(docs)
     sketches = materialise(sketch(docs, factor), "near-sketches")
@@ -344,19 +349,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rooted = materialise(texts.select("name", "low").join(roots, "name", "left").select("name", "low", F.coalesce("root", "name").alias("root")), "near-roots")
     ids = materialise(rooted.groupBy("root").agg(F.min("low").alias("class_id")), "near-ids")
     by_name = materialise(rooted.join(ids, "root").select("name", "class_id", "root"), "near-classes")
-    found = sketches.select("doc_id", "name").join(by_name, "name", "left")
-    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("root").alias("class_name"))
+    found = sketches.select("doc_id", "mark", "name").join(by_name, "name", "left")
+    return found.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("root").alias("class_name"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class, that of the least doc_id (of equal rows one); all columns stay.
 
-    Rows without a word are all kept. A row with a null doc_id is kept, as nothing names it.
+    Of several texts of a class under its least doc_id one stays, always the same. Rows without a word are all kept.
+    A row with a null doc_id is kept, as nothing names it.
     """
-    first = classes(docs, similarity).where((F.col("doc_id") == F.col("class_id")) | F.col("class_name").isNull()).select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    kept = known.join(first.where(F.col("doc_id").isNotNull()), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    named = classes(docs, similarity).where(F.col("doc_id").isNotNull() & F.col("class_name").isNotNull())
+    first = named.groupBy("class_name").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.doc_id", F.col("first.mark").alias("__mark"))
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(worded).withColumn("__mark", mark_of(F.col("text"))).join(first, ["doc_id", "__mark"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns).union(docs.where(~worded))
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

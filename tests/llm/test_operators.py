@@ -151,6 +151,15 @@ def test_keep_first_keeps_one_of_each_class(docs):
     assert kept == Counter(first) + Counter({None: 2})
 
 
+def test_keep_first_keeps_each_class_of_a_shared_doc_id(spark):
+    """Dissimilar texts under one doc_id are a class each, and none is lost."""
+    r = random.Random(8)
+    texts = [" ".join(prose(r, 90, 10**6)) for _ in range(6)]
+    rows = [(1, t) for t in texts] + [(1, texts[0]), (2, texts[1]), (0, texts[2]), (3, " "), (3, " "), (3, None)]
+    kept = near_dup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, t) for t in texts if t != texts[2]] + [(0, texts[2]), (3, " "), (3, " "), (3, None)])
+
+
 # -- op2 --------------------------------------------------------------------------------------------------------
 
 
