@@ -8,7 +8,8 @@ copies makes its own shingles frequent, and a steep idf would let the few words
 1. Texts of equal words are one text from here on; its name is a hash of 128 bits.
 2. Improved consistent weighted sampling draws ``BANDS * ROWS`` (shingle, level) pairs of each
    text. Two texts of weighted Jaccard similarity s agree in each with probability s. Its random
-   variates come from tables, at a place that depends on the shingle and the draw.
+   variates come from tables, at a place that depends on the shingle and the draw. ``PLAIN_BANDS * ROWS`` least
+   hashes of the shingle set do so for the plain similarity, which repeated passages leave as it is.
 3. Texts that agree in all rows of a band share a bucket. Every text of a bucket is first paired with the
    bucket's leader (the least name), which joins most of a group of copies. Then every two texts of a bucket that
    these links leave in different components are compared, whether a leader took them or not: in parts of
@@ -34,7 +35,7 @@ from stratalog.llm.session import materialise, ship, table, tidy
 from stratalog.llm.words import U, Block, blocks, mix, span_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 10, 4
+BANDS, PLAIN_BANDS, ROWS = 10, 10, 4
 #: Shingles of a bucket's part; two parts at most are compared at once.
 PART_SHINGLES = 1 << 18
 BINS, IDF_FLOOR = 1 << 17, 0.8
@@ -126,6 +127,19 @@ def draws(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, variates: lis
     return doc[first], out
 
 
+def least_hashes(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """For each document that has shingles, the least of their hashes under each of ``n`` rehashings (documents x n)."""
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    out = np.empty((len(first), n), U)
+    for k in range(n):
+        odd = U((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        turned = hashes * odd
+        turned ^= turned >> U(31)
+        turned *= U(0xBF58476D1CE4E5B9)
+        out[:, k] = np.minimum.reduceat(turned, first)
+    return out
+
+
 def mark_of(text: Column) -> Column:
     """A hash of 128 bits of a whole text."""
     return F.unhex(F.md5(text.cast("string")))
@@ -143,15 +157,16 @@ def sketch(docs: DataFrame, factor: np.ndarray) -> DataFrame:
             _, named = names(block)
             n = len(named)
             doc, hashes, tf = shingles(block)
-            keys = np.zeros((n, BANDS), np.int64)
+            keys = np.zeros((n, BANDS + PLAIN_BANDS), np.int64)
             have = np.zeros(n, bool)
             if len(doc):
                 some, out = draws(doc, hashes, weights(hashes, tf, shared.value), variates)
-                band = np.zeros((len(some), BANDS), U)
+                plain = least_hashes(doc, hashes, PLAIN_BANDS * ROWS)
+                band = np.zeros((len(some), BANDS + PLAIN_BANDS), U)
                 for i in range(ROWS):
-                    band = mix(band ^ out[:, i::ROWS], i + 1)
+                    band = mix(band ^ np.concatenate([out[:, i::ROWS], plain[:, i::ROWS]], axis=1), i + 1)
                 keys[some], have[some] = band.view(np.int64), True
-            size = np.where(have, BANDS, 0)
+            size = np.where(have, BANDS + PLAIN_BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys[have].ravel(), pa.int64()))
             yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("mark"), pa.array(named, pa.binary()), bands], ["doc_id", "mark", "name", "bands"])
 

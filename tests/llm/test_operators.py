@@ -145,6 +145,25 @@ def test_weighted_jaccard_and_sampling_agree():
     assert abs((out[0] == out[1]).mean() - true) < 3.5 * math.sqrt(true * (1 - true) / len(variates))
 
 
+def test_texts_that_differ_in_repetitions_are_one_class(spark):
+    """A text written ten times has a plain similarity near 1 with itself, and a weighted one of about 0.3."""
+    r = random.Random(4)
+    rows = []
+    for k in range(20):
+        own = " ".join(prose(r, 150, 10**6))
+        rows += [(2 * k, own), (2 * k + 1, " ".join([own] * 10))]
+    found = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id")
+    assert {tuple(x) for x in found.collect()} == {(i, i - i % 2) for i in range(40)}
+
+
+def test_least_hashes_agree_as_often_as_the_plain_similarity():
+    r = np.random.default_rng(6)
+    hashes = r.integers(0, 2**64, 400, dtype=np.uint64)
+    a, b = np.sort(hashes[:300]), np.sort(hashes[100:])
+    out = near_dup.least_hashes(np.repeat([0, 1], 300), np.concatenate([a, b]), 400)
+    assert abs((out[0] == out[1]).mean() - 0.5) < 3.5 * math.sqrt(0.25 / 400)
+
+
 def test_keep_first_keeps_one_of_each_class(docs):
     kept = Counter(r["doc_id"] for r in near_dup.keep_first(docs).collect())
     first = {r["class_id"] for r in near_dup.classes(docs).collect() if r["class_id"] is not None}
