@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from stratalog.functions.streams import tags_array
 
 
-def block_refs(rows: DataFrame) -> DataFrame:
-    """Time range and rows of each day, part and stream."""
-    keys = [c for c in ("day", "part_id", "_stream") if c in rows.columns]
+def block_refs(rows: DataFrame, tags: list[str] = ()) -> DataFrame:
+    """Time range and rows of each day, part and stream (with the columns of its tags, if asked for)."""
+    keys = [c for c in ("day", "part_id", "_stream", *tags) if c in rows.columns]
     return rows.groupBy(*keys).agg(F.min("_time_ns").alias("time_min_ns"), F.max("_time_ns").alias("time_max_ns"), F.count(F.lit(1)).alias("rows"))
 
 

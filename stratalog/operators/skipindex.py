@@ -26,8 +26,9 @@ def places(text: Column) -> Column:
 
 
 def build(stored: DataFrame) -> DataFrame:
-    """(file, place): distinct places of every file of a scan."""
-    each = stored.select(F.col("_metadata.file_path").alias("file"), places(F.col("_msg")).alias("p"))
+    """(file, place): distinct places of every file of a scan of parts; a file goes by its path below their folder."""
+    file = F.format_string("day=%s/part_id=%d/%s", "day", "part_id", F.col("_metadata.file_name"))
+    each = stored.select(file.alias("file"), places(F.col("_msg")).alias("p"))
     return each.select("file", F.explode("p").alias("place")).distinct()
 
 

@@ -10,8 +10,8 @@ from stratalog.functions.times import day_of, day_overlaps
 from stratalog.model import DeleteSpec
 
 SCHEMA = "id string, created_ns long, day string, start_ns long, end_ns long, tags array<string>, contains string"
-#: Records up to which they are broadcast; beyond, they are joined by day.
-FEW = 10_000
+#: Records up to which they are broadcast; beyond, they are joined by day, of which each is dealt over ``SALTS`` shares of its rows.
+FEW, SALTS = 10_000, 64
 
 
 def resolve_days(spec: DeleteSpec, known: set[str]) -> list[str]:
@@ -45,8 +45,10 @@ def apply(rows: DataFrame, found: list[dict], stream_fields: tuple[str, ...], ke
     """Rows (with day) that no record of their day hides; with keep_hidden those that one does."""
     if not found:
         return rows.limit(0) if keep_hidden else rows
-    deletes = frame(rows.sparkSession, found)
+    deletes, condition = frame(rows.sparkSession, found), (F.col("r.day") == F.col("t.day")) & hides(stream_fields)
     if len(found) <= FEW:
         deletes = F.broadcast(deletes)
-    condition = (F.col("r.day") == F.col("t.day")) & hides(stream_fields)
+    else:
+        deletes = deletes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        condition = condition & (F.pmod(F.xxhash64("r._time_ns", "r._msg"), F.lit(SALTS)).cast("int") == F.col("t.salt"))
     return rows.alias("r").join(deletes.alias("t"), condition, "left_semi" if keep_hidden else "left_anti")

@@ -194,11 +194,33 @@ def stream_tags(spark, sf):
     return documents(spark, sf).select("doc_id", F.element_at(tags, "lang").alias("lang"), F.element_at(tags, "source").alias("source"))
 
 
-@register(f"SELECT CAST(count(DISTINCT day || stream) AS BIGINT) AS blocks_seen, count(*) AS rows_scanned, count(*) FILTER (contains(msg, '69')) AS rows_returned FROM {_LOG}")
+_COUNTED = "mem_blocks_scanned, parts_scanned, parts_pruned_indexdb, blocks_seen, blocks_skipped_bloom, blocks_scanned, rows_scanned, rows_suppressed_delete, rows_returned"
+
+
+@register(f"""WITH l AS (SELECT *, event_id % 50 = 0 AS mem FROM {_LOG}), t AS (SELECT * FROM l WHERE service = 'error'),
+    hit AS (SELECT * FROM t WHERE contains(msg, '9')) SELECT (SELECT count(DISTINCT day || stream) FROM t WHERE mem) AS mem_blocks_scanned, (SELECT count(DISTINCT day) FROM t WHERE NOT mem) AS parts_scanned,
+    (SELECT count(DISTINCT day) FROM l WHERE NOT mem) - (SELECT count(DISTINCT day) FROM t WHERE NOT mem) AS parts_pruned_indexdb, (SELECT count(DISTINCT day || stream) FROM t WHERE NOT mem) AS blocks_seen,
+    CAST(0 AS BIGINT) AS blocks_skipped_bloom, (SELECT count(DISTINCT day || stream) FROM t WHERE NOT mem) AS blocks_scanned, (SELECT count(*) FROM t) AS rows_scanned,
+    (SELECT count(*) FROM hit WHERE NOT mem AND day = '20240105' AND contains(msg, '1')) AS rows_suppressed_delete,
+    (SELECT count(*) FROM hit WHERE NOT (day = '20240105' AND contains(msg, '1'))) AS rows_returned""")
 def query_stats(spark, sf):
-    """Counters of a substring query without the trigram index, so that every block is scanned."""
-    _, stats = event_table(spark, sf, skip_index=False).search_with_stats(QuerySpec(contains="69"))
-    return spark.createDataFrame([(stats.blocks_seen, stats.rows_scanned, stats.rows_returned)], "blocks_seen long, rows_scanned long, rows_returned long")
+    """All counters of a query by tag and substring over parts and a tip, without the trigram index, so that every block is scanned."""
+    table = LogTable.open(spark, scratch(spark, "stats"), Options(FIELDS, max_rows_per_block=1 << 40, skip_index=False))
+    rows = event_rows(spark, sf)
+    mem = F.pmod(F.element_at("fields", "event_id").cast("long"), F.lit(50)) == 0
+    table.append_frame(rows.where(~mem))
+    table.append((r["_time_ns"], {"_msg": r["_msg"], "service": r["tag_service"], "host": r["tag_host"], **r["fields"]}) for r in rows.where(mem).toLocalIterator())
+    table.delete(DeleteSpec(*day_bounds("20240105"), contains="1"))
+    _, stats = table.search_with_stats(QuerySpec(stream_eq={"service": "error"}, contains="9"))
+    names = _COUNTED.split(", ")
+    return spark.createDataFrame([tuple(getattr(stats, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@register("SELECT CAST(count(DISTINCT day) AS BIGINT) AS parts_scanned, CAST(count(DISTINCT day || stream) AS BIGINT) AS blocks_seen, CAST(count(DISTINCT day || stream) AS BIGINT) AS blocks_skipped_bloom, " f"CAST(0 AS BIGINT) AS rows_scanned, CAST(0 AS BIGINT) AS rows_returned FROM {_LOG}")
+def query_stats_skipped(spark, sf):
+    """Counters where the trigram index skips every block."""
+    _, stats = event_table(spark, sf).search_with_stats(QuerySpec(contains="no such message"))
+    return spark.createDataFrame([(stats.parts_scanned, stats.blocks_seen, stats.blocks_skipped_bloom, stats.rows_scanned, stats.rows_returned)], "parts_scanned long, blocks_seen long, blocks_skipped_bloom long, rows_scanned long, rows_returned long")
 
 
 @register("SELECT conv_id, turn, 'role=' || role AS stream FROM conversations WHERE role = 'assistant' AND contains(text, 'the')")

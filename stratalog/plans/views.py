@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +21,23 @@ FIELDS = ("service", "host")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can see it."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder where all executors can see it: in spark.checkpoint.dir, or on a local session's own machine."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.environ.setdefault("STRATALOG_SCRATCH", tempfile.mkdtemp(prefix="stratalog-"))
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own_folder()
     return f"{folder}/stratalog/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="stratalog-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log rows, with day and event_id."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")

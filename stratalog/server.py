@@ -15,6 +15,7 @@ from stratalog.model import HTTP_LIMIT, DeleteSpec, Options, QuerySpec
 from stratalog.operators.output import to_ndjson
 from stratalog.sources.table import LogTable
 
+NDJSON = "application/x-ndjson"
 HELP = "POST /insert /flush /delete /internal/force_merge, GET /query /healthz\n"
 
 
@@ -49,6 +50,9 @@ def seconds_or(text: str, default: float) -> timedelta:
 
 def handler(table: LogTable) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+        started = False
+
         def log_message(self, *_) -> None:
             pass
 
@@ -61,13 +65,16 @@ def handler(table: LogTable) -> type[BaseHTTPRequestHandler]:
             self.wfile.write(raw)
 
         def _route(self) -> None:
+            self.started = False
+            # A kept connection goes on behind the body, whether the route needs it or not.
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             url = urlsplit(self.path)
             args = {k: v[0] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
             post = self.command == "POST"
             tags = {f: args[f] for f in table.fields if args.get(f)}
             try:
                 if url.path == "/healthz":
-                    self._send(200, "ok", "text/plain")
+                    self._send(200, "ok\n", "text/plain")
                 elif url.path == "/":
                     self._send(200, HELP, "text/plain")
                 elif url.path == "/query" and self.command in ("GET", "POST"):
@@ -76,9 +83,8 @@ def handler(table: LogTable) -> type[BaseHTTPRequestHandler]:
                     if not post:
                         self._send(405, json.dumps({"error": "method not allowed"}))
                     elif url.path == "/insert":
-                        body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()
                         flush = truthy(args.get("flush", ""))
-                        n = table.insert(body, flush)
+                        n = table.insert(body.decode(), flush)
                         self._send(200, json.dumps({"inserted": n, "flushed": flush}))
                     elif url.path == "/flush":
                         table.flush()
@@ -95,6 +101,10 @@ def handler(table: LogTable) -> type[BaseHTTPRequestHandler]:
             except ValueError as e:
                 self._send(400, json.dumps({"error": str(e)}))
             except Exception as e:  # a request must not end the server
+                if self.started:
+                    # Rows are out already: the answer stays without its end, which tells the client.
+                    self.close_connection = True
+                    return
                 self._send(500, json.dumps({"error": str(e)[:300]}))
 
         def _query(self, args: dict[str, str], tags: dict[str, str]) -> None:
@@ -102,13 +112,41 @@ def handler(table: LogTable) -> type[BaseHTTPRequestHandler]:
             if limit < 0:
                 raise ValueError("limit is negative")
             spec = QuerySpec(parse_time(args.get("start", "")), parse_time(args.get("end", "")), tags, args.get("contains", ""), limit)
-            rows, stats = table.search_with_stats(spec)
-            lines = [r["value"] for r in to_ndjson(rows, table.fields).toLocalIterator()]
-            counters = asdict(stats)
-            if truthy(args.get("stats", "")):
-                lines.append(json.dumps({"_stats": counters}))
-            names = {"X-Query-" + "-".join(w.capitalize() for w in k.split("_")): str(v) for k, v in counters.items()}
-            self._send(200, "".join(f"{x}\n" for x in lines), "application/x-ndjson", names)
+            found, with_stats = table.start(spec), truthy(args.get("stats", ""))
+            lines = to_ndjson(found.rows, table.fields)
+            name = lambda k: "X-Query-" + "-".join(w.capitalize() for w in k.split("_"))
+            trailer = lambda: [json.dumps({"_stats": asdict(found.stats)})] if with_stats else []
+            if limit:
+                # No more than the limit: one scan, then all counters go ahead of the rows.
+                out = [r["value"] for r in lines.collect()]
+                found.stats.rows_returned = len(out)
+                found.count_hidden()
+                self._send(200, "".join(f"{x}\n" for x in [*out, *trailer()]), NDJSON, {name(k): str(v) for k, v in asdict(found.stats).items()})
+                return
+            # Any number of rows: they are sent as they come. What only the rows tell follows them, in the line of counters.
+            rows = iter(lines.toLocalIterator(prefetchPartitions=True))
+            head = next(rows, None)
+            known = {k: v for k, v in asdict(found.stats).items() if k not in ("rows_returned", "rows_suppressed_delete")}
+            self._start({name(k): str(v) for k, v in known.items()})
+            while head is not None:
+                self._chunk(head["value"])
+                found.stats.rows_returned += 1
+                head = next(rows, None)
+            if with_stats:
+                found.count_hidden()
+                self._chunk(trailer()[0])
+            self.wfile.write(b"0\r\n\r\n")
+
+        def _start(self, headers: dict[str, str]) -> None:
+            self.send_response(200)
+            for k, v in {"Content-Type": NDJSON, "Transfer-Encoding": "chunked", **headers}.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.started = True
+
+        def _chunk(self, line: str) -> None:
+            raw = f"{line}\n".encode()
+            self.wfile.write(f"{len(raw):x}\r\n".encode() + raw + b"\r\n")
 
         do_GET = do_POST = do_PUT = do_DELETE = _route
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from stratalog.functions.times import parse_time, parse_time_column, timestamp_c
 from stratalog.model import MISSING_MSG, RESERVED, tag_column
 
 Entry = dict[str, str]
+_SPACES = re.compile(r"\s*")
 
 
 def stringify(value: object) -> str:
@@ -42,11 +44,12 @@ def decode_entries(body: str) -> list[tuple[int | None, Entry]]:
     if body.startswith("["):
         items = json.loads(body)
     else:
-        items, at, decoder = [], 0, json.JSONDecoder()
-        while at < len(body) and (rest := body[at:].lstrip()):
-            item, size = decoder.raw_decode(rest)
+        items, decoder = [], json.JSONDecoder()
+        at = _SPACES.match(body).end()
+        while at < len(body):
+            item, at = decoder.raw_decode(body, at)
             items.append(item)
-            at = len(body) - len(rest) + size
+            at = _SPACES.match(body, at).end()
     if not items:
         raise ValueError("no records")
     return [to_entry(i) for i in items]

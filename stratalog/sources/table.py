@@ -3,9 +3,10 @@
 Layout under the table's root:
 
 * ``parts/day=YYYYMMDD/part_id=N/``: Parquet files, clustered by stream and time;
+* ``catalog/part_id=N/``: a part's blocks (day, stream, tags, time range, rows) as Parquet, written and searched by Spark;
 * ``index/part_id=N/``: the trigram index of a part's files;
-* ``snapshots/NNNNNNNN.json``: which parts are visible, with their tier, rows, time range and tags,
-  the tombstones, and what has been taken in. The highest number counts. A part that no
+* ``snapshots/NNNNNNNN.json``: which parts are visible, with their tier, time range and numbers of rows and blocks,
+  the tombstones, and what has been taken in: a few numbers for each day and part. The highest number counts. A part that no
   snapshot names is invisible, and removed when the table is opened;
 * ``wal/NNNNNNNN.json``: appended batches that aren't in a part yet, if the table keeps them.
 
@@ -21,15 +22,15 @@ import time
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Mapping
-from dataclasses import replace
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.functions.streams import parse_stream_tags
+from stratalog.functions.streams import stream_eq
 from stratalog.functions.times import day_bounds, day_column, day_of, day_overlaps, timestamp_column
-from stratalog.model import DeleteSpec, Options, QuerySpec, QueryStats, row_schema
+from stratalog.model import DeleteSpec, Options, QuerySpec, QueryStats, row_schema, tag_column
 from stratalog.operators import catalog, skipindex, tombstones
 from stratalog.operators.predicates import filter_rows, limited
 from stratalog.sources.files import Files
@@ -38,6 +39,19 @@ from stratalog.sources.ingest import decode_entries, normalise
 _EMPTY = {"version": 0, "next_part": 1, "next_delete": 1, "parts": {}, "deletes": [], "batches": {}, "wal": 0}
 
 
+@dataclass
+class Search:
+    """Rows of a query; those that tombstones hide from it (none if no tombstone may count); counters."""
+
+    rows: DataFrame
+    hidden: DataFrame | None
+    stats: QueryStats
+
+    def count_hidden(self) -> None:
+        """Fill rows_suppressed_delete, which takes a scan where there are tombstones."""
+        self.stats.rows_suppressed_delete = self.hidden.count() if self.hidden is not None else 0
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -48,6 +62,7 @@ class LogTable:
         self._stop = threading.Event()
         self._workers: list[threading.Thread] = []
         self._tip: list[dict] = []
+        self._blocks: Counter = Counter()
         self._retired: list[str] = []
         self._wal_seq = self._used_part = 0
         self._snapshot = dict(_EMPTY)
@@ -70,6 +85,7 @@ class LogTable:
             for part in (n for n in files.names(f"parts/{day}") if n.startswith("part_id=")):
                 if (day.removeprefix("day="), int(part.removeprefix("part_id="))) not in visible:
                     files.remove(f"parts/{day}/{part}")
+        table._clean_indexes()
         table._replay()
         if workers:
             table._start_workers()
@@ -100,6 +116,16 @@ class LogTable:
         if o.retention > zero and o.retention_interval > zero:
             every(o.retention_interval, self.apply_retention)
 
+    def _clean_indexes(self) -> int:
+        """Remove the catalogs and trigram indexes of parts that aren't visible."""
+        visible, n = {p["id"] for p in self._parts()}, 0
+        for kind in ("catalog", "index"):
+            for name in self._files.names(kind):
+                if name.startswith("part_id=") and int(name.removeprefix("part_id=")) not in visible:
+                    self._files.remove(f"{kind}/{name}")
+                    n += 1
+        return n
+
     def _publish(self, **changes) -> None:
         new = self._snapshot | changes | {"version": self._snapshot["version"] + 1}
         self._files.publish(f"snapshots/{new['version']:08d}.json", json.dumps(new))
@@ -114,20 +140,29 @@ class LogTable:
     # -- writing -------------------------------------------------------------------------------------------
 
     def append(self, entries: Iterable[tuple[int | None, Mapping[str, str]]]) -> int:
-        """Take in (time or None, fields) records, visible at once. A stream with a full block flushes the tip."""
+        """Take in (time or None, fields) records, visible at once. A stream with a full block flushes its day."""
         now = time.time_ns()
         rows = [normalise(t, f, self.fields, now) for t, f in entries]
         with self._lock:
             if self.options.enable_wal and rows:
-                self._wal_seq += 1
-                text = json.dumps(rows)
-                self._files.publish(f"wal/{self._wal_seq:08d}.json", json.dumps({"crc32": zlib.crc32(text.encode()), "rows": text}))
+                self._log(rows)
             self._tip += rows
-            blocks = Counter((day_of(r["_time_ns"]), r["_stream"]) for r in self._tip)
-            if blocks and max(blocks.values()) >= self.options.max_rows_per_block:
-                self.flush()
+            new = Counter((day_of(r["_time_ns"]), r["_stream"]) for r in rows)
+            self._blocks.update(new)
+            for day in sorted({day for day, stream in new if self._blocks[day, stream] >= self.options.max_rows_per_block}):
+                self.flush(day)
         return len(rows)
 
+    def _log(self, rows: list[dict], version: int = 0) -> None:
+        """A record of the log. One with a version counts only once that snapshot is there."""
+        self._wal_seq += 1
+        text = json.dumps(rows)
+        self._files.publish(f"wal/{self._wal_seq:08d}.json", json.dumps({"crc32": zlib.crc32(text.encode()), "version": version, "rows": text}))
+
+    def _hold(self, rows: list[dict]) -> None:
+        self._tip = rows
+        self._blocks = Counter((day_of(r["_time_ns"]), r["_stream"]) for r in rows)
+
     def insert(self, body: str, flush: bool = False) -> int:
         """Records of a request body, all or none."""
         n = self.append(decode_entries(body))
@@ -136,28 +171,44 @@ class LogTable:
         return n
 
     def _replay(self) -> None:
-        for name in self._files.names("wal"):
-            if not name.endswith(".json"):
-                continue
+        """Take in the batches that aren't in a part. A last record that is cut short was never acknowledged, and is left out."""
+        names = [n for n in self._files.names("wal") if n.endswith(".json")]
+        rows: list[dict] = []
+        for name in names:
             seq = int(name.removesuffix(".json"))
             self._wal_seq = max(self._wal_seq, seq)
-            if seq > self._snapshot["wal"]:
+            if seq <= self._snapshot["wal"]:
+                continue
+            try:
                 record = json.loads(self._files.read(f"wal/{name}"))
-                if zlib.crc32(record["rows"].encode()) != record["crc32"]:
-                    raise ValueError(f"wal/{name} is damaged")
-                self._tip += json.loads(record["rows"])
+            except ValueError:
+                if name != names[-1]:
+                    raise ValueError(f"wal/{name} is damaged") from None
+                self._files.remove(f"wal/{name}")
+                continue
+            if zlib.crc32(record["rows"].encode()) != record["crc32"]:
+                raise ValueError(f"wal/{name} is damaged")
+            if record.get("version", 0) <= self._snapshot["version"]:
+                rows += json.loads(record["rows"])
+            else:
+                self._files.remove(f"wal/{name}")
         self._wal_seq = max(self._wal_seq, self._snapshot["wal"])
+        self._hold(self._tip + rows)
 
-    def flush(self) -> list[int]:
-        """Write the tip as one part for each day. If that fails, the tip stays."""
+    def flush(self, day: str | None = None) -> list[int]:
+        """Write the tip, or what it has of one day, as one part for each day. If that fails, the tip stays."""
         with self._lock:
-            if not self._tip:
+            own = [r for r in self._tip if day is None or day_of(r["_time_ns"]) == day]
+            if not own:
                 return []
-            ids = self.append_frame(self._tip_frame().drop("day"), wal=self._wal_seq)
-            self._tip = []
-            if self.options.enable_wal:
-                for name in self._files.names("wal"):
-                    self._files.remove(f"wal/{name}")
+            rest = [r for r in self._tip if day is not None and day_of(r["_time_ns"]) != day]
+            mark, old = self._wal_seq, self._files.names("wal") if self.options.enable_wal else []
+            if rest and old:
+                self._log(rest, self._snapshot["version"] + 1)
+            ids = self.append_frame(self._tip_frame(own).drop("day"), wal=mark)
+            self._hold(rest)
+            for name in old:
+                self._files.remove(f"wal/{name}")
             return ids
 
     def append_frame(self, rows: DataFrame, tier: str = "small", batch: tuple[str, int] | None = None, **changes) -> list[int]:
@@ -191,17 +242,19 @@ class LogTable:
         clustered = stamped.select(*names).hint("rebalance", "day", "_stream").sortWithinPartitions("day", "_stream", "_time_ns")
         clustered.write.partitionBy("day", "part_id").mode("append").parquet(f"{self.root}/parts")
         written = self._scan([f"{self.root}/parts/*/part_id={part_id}"])
-        refs = catalog.block_refs(written).collect()
-        out: dict[str, dict] = {}
-        for r in refs:
-            p = out.setdefault(r["day"], {"id": part_id, "day": r["day"], "rows": 0, "time_min_ns": r["time_min_ns"], "time_max_ns": r["time_max_ns"], "blocks": []})
-            p["rows"] += r["rows"]
-            p["time_min_ns"], p["time_max_ns"] = min(p["time_min_ns"], r["time_min_ns"]), max(p["time_max_ns"], r["time_max_ns"])
-            p["blocks"].append([r["_stream"], r["time_min_ns"], r["time_max_ns"], r["rows"]])
-        if self.options.skip_index and out:
-            index = skipindex.build(self._scan([f"{self.root}/parts/day={d}/part_id={part_id}" for d in out]))
+        refs = catalog.block_refs(written, [tag_column(f) for f in self.fields])
+        refs.drop("part_id").write.mode("overwrite").parquet(f"{self.root}/catalog/part_id={part_id}")
+        by_day = self._catalog([part_id]).groupBy("day").agg(F.sum("rows").alias("rows"), F.min("time_min_ns").alias("time_min_ns"), F.max("time_max_ns").alias("time_max_ns"), F.count(F.lit(1)).alias("blocks"))
+        made = [{"id": part_id, **r.asDict()} for r in by_day.orderBy("day").collect()]
+        if self.options.skip_index and made:
+            index = skipindex.build(self._scan([f"{self.root}/parts/day={p['day']}/part_id={part_id}" for p in made]))
             index.write.mode("overwrite").parquet(f"{self.root}/index/part_id={part_id}")
-        return [out[d] for d in sorted(out)]
+        return made
+
+    def _catalog(self, ids: Iterable[int]) -> DataFrame:
+        """Blocks of parts: day, part_id, _stream, tags, time range, rows."""
+        schema = ", ".join(["day string", "_stream string", *[f"`{tag_column(f)}` string" for f in self.fields], "time_min_ns long", "time_max_ns long", "rows long", "part_id long"])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/catalog").parquet(*[f"{self.root}/catalog/part_id={i}" for i in sorted(set(ids))])
 
     # -- reading -------------------------------------------------------------------------------------------
 
@@ -214,57 +267,88 @@ class LogTable:
         made = self.spark.createDataFrame(plain, schema)
         return made.withColumn("_time", timestamp_column(F.col("_time_ns"))).withColumn("day", day_column(F.col("_time_ns")))
 
-    def _matches(self, stream: str, tags: Mapping[str, str]) -> bool:
-        own = parse_stream_tags(stream)
-        return all(k in self.fields and own.get(k) == v for k, v in tags.items())
+    def _matches(self, row: Mapping, tags: Mapping[str, str]) -> bool:
+        return all(k in self.fields and row.get(tag_column(k)) == v for k, v in tags.items())
+
+    def _blocks_inside(self, parts: list[dict], spec: QuerySpec) -> dict[tuple[str, int], tuple[int, int, int]]:
+        """By day and part: blocks with the query's tags, and of those the blocks and rows that overlap its time range.
+
+        What is whole inside is known from the snapshot; Spark searches the catalogs of the others.
+        """
+        whole = lambda p: not spec.tags and (spec.start_ns is None or p["time_min_ns"] >= spec.start_ns) and (spec.end_ns is None or p["time_max_ns"] <= spec.end_ns)
+        out = {(p["day"], p["id"]): (p["blocks"], p["blocks"], p["rows"]) for p in parts if whole(p)}
+        open_ = [p for p in parts if not whole(p)]
+        if not open_:
+            return out
+        blocks = self._catalog(p["id"] for p in open_).where(F.col("day").isin(sorted({p["day"] for p in open_})))
+        if spec.tags:
+            blocks = blocks.where(stream_eq(spec.tags, self.fields))
+        inside = F.lit(True)
+        if spec.start_ns is not None:
+            inside = inside & (F.col("time_max_ns") >= spec.start_ns)
+        if spec.end_ns is not None:
+            inside = inside & (F.col("time_min_ns") <= spec.end_ns)
+        found = blocks.groupBy("day", "part_id").agg(F.count(F.lit(1)), F.count_if(inside), F.sum(F.when(inside, F.col("rows")).otherwise(0)))
+        wanted = {(p["day"], p["id"]) for p in open_}
+        out |= {key: (0, 0, 0) for key in wanted}
+        out |= {(r[0], r[1]): tuple(r)[2:] for r in found.collect() if (r[0], r[1]) in wanted}
+        return out
 
     def plan(self, spec: QuerySpec, stats: QueryStats | None = None) -> tuple[list[str], list[dict]]:
         """The paths to read and the tombstones that may count: days, parts by tag, blocks by time, files by trigram."""
         snapshot = self._snapshot
         stats = stats if stats is not None else QueryStats()
         paths, seen = [], []
-        for day in sorted(snapshot["parts"]):
-            if not day_overlaps(day, spec.start_ns, spec.end_ns):
+        parts = [p for day in sorted(snapshot["parts"]) if day_overlaps(day, spec.start_ns, spec.end_ns) for p in snapshot["parts"][day]]
+        known = self._blocks_inside(parts, spec)
+        for p in parts:
+            tagged, inside, rows = known[p["day"], p["id"]]
+            if not tagged:
+                stats.parts_pruned_indexdb += 1
                 continue
-            for p in snapshot["parts"][day]:
-                # A tag value with a comma can't be told from the ids, so such a query prunes nothing by tag.
-                prune = spec.tags and not any("," in v for v in spec.tags.values())
-                blocks = [b for b in p["blocks"] if not prune or self._matches(b[0], spec.tags)]
-                if not blocks:
-                    stats.parts_pruned_indexdb += 1
-                    continue
-                stats.parts_scanned += 1
-                inside = [b for b in blocks if (spec.start_ns is None or b[2] >= spec.start_ns) and (spec.end_ns is None or b[1] <= spec.end_ns)]
-                stats.blocks_seen += len(inside)
-                if inside:
-                    seen.append((f"{self.root}/parts/day={day}/part_id={p['id']}", p, inside))
+            stats.parts_scanned += 1
+            stats.blocks_seen += inside
+            if inside:
+                seen.append((f"day={p['day']}/part_id={p['id']}", p, inside, rows))
         chosen = self._files_with(seen, spec.contains)
-        for path, _, inside in seen:
+        for path, _, inside, rows in seen:
             files = chosen.get(path, [path])
             if not files:
-                stats.blocks_skipped_bloom += len(inside)
+                stats.blocks_skipped_bloom += inside
                 continue
-            stats.blocks_scanned += len(inside)
-            stats.rows_scanned += sum(b[3] for b in inside)
-            paths += files
+            stats.blocks_scanned += inside
+            stats.rows_scanned += rows
+            paths += [f"{self.root}/parts/{f}" for f in files]
         found = [t for t in snapshot["deletes"] if day_overlaps(t["day"], spec.start_ns, spec.end_ns)]
         return paths, found
 
     def _files_with(self, seen: list[tuple], needle: str) -> dict[str, list[str]]:
-        """For each part path that has an index, its files that may hold the needle."""
+        """For each part's path below ``parts`` that has an index, its files that may hold the needle."""
         needed = skipindex.needle_places(self.spark, needle) if needle and self.options.skip_index else []
-        indexed = {path: f"{self.root}/index/part_id={p['id']}" for path, p, _ in seen if self._files.exists(f"index/part_id={p['id']}")}
+        indexed = {path: f"{self.root}/index/part_id={p['id']}" for path, p, *_ in seen if self._files.exists(f"index/part_id={p['id']}")}
         if not needed or not indexed:
             return {}
         index = self.spark.read.schema("file string, place int").parquet(*sorted(set(indexed.values())))
-        hits = [r["file"] for r in skipindex.files_with(index, needed).collect()]
-        return {path: [h for h in hits if path.split("/parts/")[1] + "/" in h] for path in indexed}
+        out: dict[str, list[str]] = {path: [] for path in indexed}
+        for r in skipindex.files_with(index, needed).collect():
+            folder = r["file"].rpartition("/")[0]
+            if folder in out:
+                out[folder].append(r["file"])
+        return out
 
     def search(self, spec: QuerySpec) -> DataFrame:
         """Rows of the tip and of the parts that the query asks for and no tombstone hides. Bag semantics, no order."""
+        return self.start(spec).rows
+
+    def start(self, spec: QuerySpec) -> Search:
+        """A search that is planned once: its rows, and the counters known before any row is read."""
+        stats = QueryStats()
         with self._lock:
-            paths, found = self.plan(spec)
+            paths, found = self.plan(spec, stats)
             tip = list(self._tip)
+        inside = [r for r in tip if day_overlaps(day_of(r["_time_ns"]), spec.start_ns, spec.end_ns) and self._matches(r, spec.tags)]
+        stats.mem_blocks_scanned = len({(day_of(r["_time_ns"]), r["_stream"]) for r in inside})
+        stats.rows_scanned += len(inside)
         parts = []
         if tip:
             parts.append(filter_rows(self._tip_frame(tip), spec, self.fields, True))
@@ -273,25 +357,15 @@ class LogTable:
         rows = self._tip_frame([]) if not parts else parts[0]
         for more in parts[1:]:
             rows = rows.unionByName(more)
-        return limited(tombstones.apply(rows, found, self.fields).drop("day"), spec.limit)
+        shown = limited(tombstones.apply(rows, found, self.fields).drop("day"), spec.limit)
+        return Search(shown, tombstones.apply(rows, found, self.fields, True) if found else None, stats)
 
     def search_with_stats(self, spec: QuerySpec) -> tuple[DataFrame, QueryStats]:
         """The rows, and the work done. Counters of a limited query are those of the unlimited one, but for rows_returned."""
-        stats = QueryStats()
-        whole = replace(spec, limit=0)
-        with self._lock:
-            paths, found = self.plan(spec, stats)
-            tip = list(self._tip)
-        inside = [r for r in tip if day_overlaps(day_of(r["_time_ns"]), spec.start_ns, spec.end_ns) and self._matches(r["_stream"], spec.tags)]
-        stats.mem_blocks_scanned = len({(day_of(r["_time_ns"]), r["_stream"]) for r in inside})
-        stats.rows_scanned += len(inside)
-        rows = self.search(spec)
-        stats.rows_returned = rows.count()
-        if found:
-            kept = [filter_rows(self._tip_frame(tip), whole, self.fields, True)] if tip else []
-            kept += [filter_rows(self._scan(paths), whole, self.fields, True).drop("part_id")] if paths else []
-            stats.rows_suppressed_delete = sum(tombstones.apply(k, found, self.fields, True).count() for k in kept)
-        return rows, stats
+        found = self.start(spec)
+        found.stats.rows_returned = found.rows.count()
+        found.count_hidden()
+        return found.rows, found.stats
 
     # -- deletes and maintenance ------------------------------------------------------------------------------
 
@@ -313,7 +387,7 @@ class LogTable:
             new = tombstones.records(spec, days, first, time.time_ns())
             if new:
                 self._publish(deletes=self._snapshot["deletes"] + new, next_delete=first + len(new))
-            self._tip = kept
+            self._hold(kept)
             if self.options.enable_wal and purged:
                 self._rewrite_wal()
             return purged
@@ -321,9 +395,7 @@ class LogTable:
     def _rewrite_wal(self) -> None:
         """The log holds the tip as it is now, so that a replay brings no purged row back."""
         old = self._files.names("wal")
-        self._wal_seq += 1
-        text = json.dumps(self._tip)
-        self._files.publish(f"wal/{self._wal_seq:08d}.json", json.dumps({"crc32": zlib.crc32(text.encode()), "rows": text}))
+        self._log(self._tip)
         for name in old:
             self._files.remove(f"wal/{name}")
 
@@ -365,7 +437,7 @@ class LogTable:
             if gone:
                 parts = {d: ps for d, ps in self._snapshot["parts"].items() if d not in gone}
                 self._publish(parts=parts, deletes=[t for t in self._snapshot["deletes"] if t["day"] not in gone])
-                self._tip = [r for r in self._tip if day_of(r["_time_ns"]) not in gone]
+                self._hold([r for r in self._tip if day_of(r["_time_ns"]) not in gone])
                 self._retired += [f"parts/day={d}" for d in gone]
             return gone
 
@@ -375,6 +447,7 @@ class LogTable:
             for name in self._retired:
                 self._files.remove(name)
             n, self._retired = len(self._retired), []
+            self._clean_indexes()
             return n
 
     def parts(self) -> DataFrame:

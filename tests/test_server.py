@@ -21,24 +21,32 @@ def test_routes(spark, tmp_path):
         except urllib.error.HTTPError as e:
             return e.code, e.read().decode(), e.headers
 
-    assert call("/healthz")[:2] == (200, "ok") and call("/nope")[0] == 404 and call("/insert")[0] == 405
-    assert json.loads(call("/insert", '{"_msg":"buffered","service":"api","host":"h1"}')[1]) == {"inserted": 1, "flushed": False}
+    assert call("/healthz")[:2] == (200, "ok\n") and call("/nope")[0] == 404 and call("/insert")[0] == 405
+    assert json.loads(call("/insert", '{"_msg":"valve open","service":"pump","host":"n7"}')[1]) == {"inserted": 1, "flushed": False}
     assert table.parts().count() == 0
-    assert json.loads(call("/insert?flush=1", '{"_msg":"persist-me","service":"api","_time":"2026-03-19T15:00:00Z"}')[1])["flushed"]
-    status, text, headers = call("/query?service=api&contains=persist&stats=1&user=ignored")
+    assert json.loads(call("/insert?flush=1", '{"_msg":"pressure low","service":"pump","_time":"2025-02-03T15:00:00Z"}')[1])["flushed"]
+    status, text, headers = call("/query?service=pump&contains=pressure&stats=1&user=ignored")
     lines = [json.loads(x) for x in text.splitlines()]
-    assert status == 200 and lines[0]["_msg"] == "persist-me" and lines[1]["_stats"]["rows_returned"] == 1 and headers["X-Query-Rows-Returned"] == "1"
+    assert status == 200 and lines[0]["_msg"] == "pressure low" and lines[1]["_stats"]["rows_returned"] == 1 and headers["X-Query-Rows-Returned"] == "1"
     for bad in ("/query?limit=-1", "/query?start=nope", "/query?limit=x"):
         assert call(bad)[0] == 400
     for bad in ("", "[]", '{"a":'):
         assert call("/insert", bad)[0] == 400
-    call("/insert?flush=1", '{"_msg":"hello secret","service":"api","_time":"2026-03-19T15:00:00Z"}')
-    assert json.loads(call("/internal/force_merge?day=20260319", "")[1]) == {"ok": True, "day": "20260319"}
-    assert {r["tier"] for r in table.parts().where("day = '20260319'").collect()} == {"big"}
+    call("/insert?flush=1", '{"_msg":"door code 1234","service":"gate","_time":"2025-02-03T15:00:00Z"}')
+    assert json.loads(call("/internal/force_merge?day=20250203", "")[1]) == {"ok": True, "day": "20250203"}
+    assert {r["tier"] for r in table.parts().where("day = '20250203'").collect()} == {"big"}
     assert call("/internal/force_merge?day=x", "")[0] == 400
-    assert json.loads(call("/delete?contains=secret", "")[1]) == {"ok": True, "purged_mem": 0}
-    assert call("/delete", "")[0] == 400 and "secret" not in call("/query")[1]
+    assert json.loads(call("/delete?contains=code", "")[1]) == {"ok": True, "purged_mem": 0}
+    assert call("/delete", "")[0] == 400 and "code" not in call("/query")[1]
     assert json.loads(call("/flush", "")[1]) == {"flushed": True}
+    # Without a limit rows are streamed, and counted behind them.
+    bulk = "".join(json.dumps({"_msg": f"line {i}", "service": "bulk", "_time": "2025-02-05T10:00:00Z"}) + "\n \n" for i in range(300))
+    assert json.loads(call("/insert?flush=1", bulk)[1])["inserted"] == 300
+    status, text, headers = call("/query?service=bulk&limit=0&stats=1")
+    lines = [json.loads(x) for x in text.splitlines()]
+    assert status == 200 and headers["Transfer-Encoding"] == "chunked" and headers["X-Query-Blocks-Scanned"] == "1"
+    assert sorted(x["_msg"] for x in lines[:-1]) == sorted(f"line {i}" for i in range(300)) and lines[-1]["_stats"]["rows_returned"] == 300
+    assert call("/query?service=none&limit=0")[:2] == (200, "") and len(call("/query?service=bulk")[1].splitlines()) == 100
     server.shutdown()
 
 
