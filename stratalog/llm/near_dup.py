@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.session import materialise, ship, table, tidy
+from stratalog.llm.session import discard, free_name, materialise, ship, table, tidy
 from stratalog.llm.words import U, Block, blocks, mix, span_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,7 +40,7 @@ BANDS, PLAIN_BANDS, ROWS = 10, 10, 4
 PART_SHINGLES = 1 << 18
 BINS, IDF_FLOOR = 1 << 17, 0.8
 _TABLE = 1 << 14
-_NAME_BASES = (0xD1342543DE82EF93, 0xA0761D6478BD642F)
+_NAME_SALTS = (0xD1342543DE82EF93, 0xA0761D6478BD642F)
 
 
 def shingles(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def shingles(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     short = np.flatnonzero((n > 0) & (n < size))
     if len(short):
         doc = np.concatenate([doc, short])
-        hashes = np.concatenate([hashes, span_hashes(block.hashes, block.first[short], block.first[short + 1])])
+        hashes = np.concatenate([hashes, span_hashes(block.hashes[np.isin(block.doc, short)], n[short])])
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]))) if len(doc) else np.empty(0, np.int64)
@@ -61,7 +61,7 @@ def shingles(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
 def names(block: Block) -> tuple[np.ndarray, list[bytes | None]]:
     """The documents with words, and a name of 16 bytes for each document's words (None without any)."""
     some = np.flatnonzero(np.diff(block.first))
-    halves = [span_hashes(block.hashes, block.first[some], block.first[some + 1], base) for base in _NAME_BASES]
+    halves = [span_hashes(block.hashes, np.diff(block.first), salt)[some] for salt in _NAME_SALTS]
     raw = np.stack(halves, axis=1).astype(">u8").tobytes() if len(some) else b""
     out: list[bytes | None] = [None] * (len(block.first) - 1)
     for k, i in enumerate(some):
@@ -177,14 +177,18 @@ def sketch(docs: DataFrame, factor: np.ndarray) -> DataFrame:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(name, set) of the rows with words: pairs of (32 bits of a shingle's hash, tf), as u32 little-endian.
 
-    The hash's highest bits are kept, and with them its bin.
+    The hash's highest bits are kept, and with them its bin. A task gives each name once, so that a text's copies are few rows.
     """
     ship(docs.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for block in blocks(batches):
             some, named = names(block)
+            some = [i for i in some.tolist() if not (named[i] in seen or seen.add(named[i]))]
+            if not some:
+                continue
             doc, hashes, tf = shingles(block)
             at = np.searchsorted(doc, np.arange(len(named) + 1))
             high = (hashes >> U(32)).astype("<u4")
@@ -333,7 +337,9 @@ def links_of(texts: DataFrame, docs: DataFrame, factor: np.ndarray, similarity:
     taken = materialise(verify(pairs, sets, factor, similarity).where("similar").select("a", "b"), "near-taken")
     # The leaders themselves have met all of their buckets.
     parts = _parts(faced.select("name", "band", "key"), components(taken), sets.select("name", "n"))
-    return taken.union(materialise(links_across(parts, sets, factor, similarity), "near-across"))
+    links = materialise(taken.union(links_across(parts, sets, factor, similarity)), "near-links")
+    discard(leaders, faced, sets, taken)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,15 +348,17 @@ def components(links: DataFrame) -> DataFrame:
     Each round every name takes the least label among its neighbours, then its label's label.
     """
     edges = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("name"), F.least("a", "low").alias("root")), "near-labels")
+    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("name"), F.least("a", "low").alias("root"), F.lit(True).alias("moved")), "near-labels")
     while True:
         near = edges.join(labels.select(F.col("name").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        near = materialise(labels.join(near.withColumnRenamed("a", "name"), "name").select("name", "root", F.least("root", "near").alias("next")), "near-step")
+        near = materialise(labels.select("name", "root").join(near.withColumnRenamed("a", "name"), "name").select("name", "root", F.least("root", "near").alias("next")), "near-step")
         jump = near.join(near.select(F.col("name").alias("next"), F.col("next").alias("far")), "next")
         moved = materialise(jump.select("name", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")), "near-labels")
-        labels = moved.select("name", "root")
+        discard(near, labels)
+        labels = moved
         if moved.where("moved").isEmpty():
-            return labels
+            discard(edges)
+            return labels.select("name", "root")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -360,10 +368,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sketches = materialise(sketch(docs, factor), "near-sketches")
     texts = sketches.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
     texts = materialise(texts, "near-texts")
-    roots = components(links_of(texts.select("name", "bands"), docs, factor, similarity))
+    links = links_of(texts.select("name", "bands"), docs, factor, similarity)
+    roots = components(links)
     rooted = materialise(texts.select("name", "low").join(roots, "name", "left").select("name", "low", F.coalesce("root", "name").alias("root")), "near-roots")
     ids = materialise(rooted.groupBy("root").agg(F.min("low").alias("class_id")), "near-ids")
     by_name = materialise(rooted.join(ids, "root").select("name", "class_id", "root"), "near-classes")
+    discard(texts, rooted, ids)
     found = sketches.select("doc_id", "mark", "name").join(by_name, "name", "left")
     return found.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("root").alias("class_name"))
 
@@ -377,8 +387,9 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = classes(docs, similarity).where(F.col("doc_id").isNotNull() & F.col("class_name").isNotNull())
     first = named.groupBy("class_name").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.doc_id", F.col("first.mark").alias("__mark"))
     worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.where(worded).withColumn("__mark", mark_of(F.col("text"))).join(first, ["doc_id", "__mark"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns).union(docs.where(~worded))
+    mark = free_name(docs.columns, "mark")
+    kept = docs.where(worded).withColumn(mark, mark_of(F.col("text"))).join(first.withColumnRenamed("__mark", mark), ["doc_id", mark], "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*[f"`{c}`" for c in docs.columns]).union(docs.where(~worded))
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.session import ship, table, tidy
-from stratalog.llm.words import U, mix, slices, span_hashes
+from stratalog.llm.words import HashTable, U, distinct_spans, mix, slices
 
 _BASE = 0xB5297A4D3F84D5A3
 BLANK = "▁"
@@ -35,6 +35,23 @@ BLANK = "▁"
 BLOCK_BYTES = 1 << 19
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and _BASE**-i modulo 2**64 for i < n."""
+    return tuple(np.concatenate([np.ones(1, U), np.cumprod(np.full(n, b, U))])[:n] for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+class Substrings:
+    """Hashes of substrings, overlapping ones too. They only say where to look: bytes are compared after."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * up[:-1], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts])
+
+
 class Model:
     """Pieces of a model by the hash of their bytes (a blank counting as byte 32), with log weights."""
 
@@ -64,39 +81,16 @@ class Model:
         self.longest = max(len(b) for b, _ in found)
         data = np.frombuffer(b"".join(b for b, _ in found), np.uint8)
         ends = np.cumsum([len(b) for b, _ in found])
-        hashes = span_hashes(data.astype(U) + U(1), ends - [len(b) for b, _ in found], ends, _BASE)
         lengths = np.array([len(b) for b, _ in found])
+        hashes = Substrings(data).hashes(ends - lengths, ends)
+        self.data, self.begin = data, ends - lengths
         self.lengths = np.unique(lengths)
-        # An open table: a slot holds a hash, and the place of its piece.
-        self.bits = 18
-        self.slot_hash = np.zeros(1 << self.bits, U)
-        self.slot_piece = np.full(1 << self.bits, -1, np.int32)
-        self.reach = 1
-        for k, h in enumerate(hashes.tolist()):
-            at, step = h >> (64 - self.bits), 1
-            while self.slot_piece[at] >= 0:
-                at, step = (at + 1) & ((1 << self.bits) - 1), step + 1
-            self.slot_hash[at], self.slot_piece[at] = h, k
-            self.reach = max(self.reach, step)
+        self.known = HashTable(len(found))
+        self.known.add(hashes, np.arange(len(found), dtype=np.int32))
         self.piece_id = np.array([i for _, i in found], np.int32)
         self.weight = weight
         self.byte_weight = weight.min() - np.log(256.0) * sharpness
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash's piece, or -1."""
-        slot = (hashes >> U(64 - self.bits)).astype(np.int64)
-        found = np.full(len(hashes), -1, np.int32)
-        open_ = np.arange(len(hashes))
-        for _ in range(self.reach):
-            hit = self.slot_hash[slot[open_]] == hashes[open_]
-            held = self.slot_piece[slot[open_]]
-            found[open_[hit]] = held[hit]
-            open_ = open_[~hit & (held >= 0)]
-            if not len(open_):
-                break
-            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
-        return found
-
 
 @lru_cache(maxsize=2)
 def model_of(path: str, sharpness: float) -> Model:
@@ -126,7 +120,7 @@ class Lattice:
         room = np.repeat(closes, closes - opens + 1)
         heads = np.append((data & 0xC0) != 0x80, True)
         character = np.cumsum(heads)
-        hashed = data.astype(U) + U(1)
+        hashed = Substrings(data)
         inner = np.flatnonzero(heads[:-1] & (data != 0))
         starts, stops, pieces = [], [], []
         at = inner
@@ -135,8 +129,10 @@ class Lattice:
             if not len(at):
                 break
             whole = at[heads[at + size]]
-            found = model.find(span_hashes(hashed, whole, whole + size, _BASE))
-            ok = found >= 0
+            found = model.known.find(hashed.hashes(whole, whole + size))
+            ok = np.flatnonzero(found >= 0)
+            for k in range(size):
+                ok = ok[data[whole[ok] + k] == model.data[model.begin[found[ok]] + k]]
             starts.append(whole[ok])
             stops.append(whole[ok] + size)
             pieces.append(found[ok])
@@ -201,8 +197,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, model: Model
     starts, ends, first = part(data, offsets)
     if not len(starts):
         return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
-    hashes = span_hashes(data.astype(U) + U(1), starts, ends)
-    distinct, example, each = np.unique(hashes, return_index=True, return_inverse=True)
+    example, each = distinct_spans(data[starts[0] :], ends - starts)
     size = (ends - starts)[example]
     held = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.zeros(held[-1], np.uint8)

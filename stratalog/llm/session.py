@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
-import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: str | None = None
+#: Where the tables that were written are.
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.environ.setdefault("STRATALOG_SCRATCH", tempfile.mkdtemp(prefix="stratalog-"))
-    return folder
+    """The folder all executors share: spark.checkpoint.dir. Only a local session (one machine) that names none gets one of its own."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    global _OWN
+    if _OWN is None:
+        _OWN = tempfile.mkdtemp(prefix="stratalog-")
+        atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
+    return _OWN
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +59,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratalog/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote, once all that was made of them has been written itself."""
+    for df in stored:
+        jvm, path = df.sparkSession._jvm, _STORED.pop(df)
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:

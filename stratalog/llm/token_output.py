@@ -18,7 +18,7 @@ ids. A null or empty text has the end id alone. An empty input writes no block.
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from stratalog.llm import rans
 from stratalog.llm.session import materialise, shared_folder, ship, table
-from stratalog.llm.words import U, blocks
+from stratalog.llm.words import HashTable, blocks, byte_hashes, gather
 
 #: Symbols of a block are at least this many, but for the last one of a partition.
 BLOCK_SYMBOLS = 1 << 18
-#: Distinct words, and distinct runs, whose ids a worker keeps.
-KNOWN_WORDS = 1 << 20
+#: Distinct runs whose ids a worker keeps, from task to task.
+KNOWN_RUNS = 1 << 21
+#: Bytes of text that are encoded at once.
+BLOCK_BYTES = 1 << 22
 END_ID = 1
 
 
@@ -51,80 +53,166 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Letters, digits and signs whose split, lower case and normal form are the tokenizer's own for each run alone.
-_SIMPLE = re.compile(r"(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f0-9!-&(-/:-@\[-`{-~])+")
-_RUN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+@lru_cache(maxsize=2)
+def _run_tokenizer(path: str):
+    """The same model, without the normal forms and splits that plain runs don't need."""
+    from tokenizers import Tokenizer
+
+    own = json.loads(_tokenizer(path).to_str())
+    own |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(own))
+
+
+_ODD, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
+
+
+def _classes() -> np.ndarray:
+    """What each byte of a word is: a letter (also of two bytes, U+00C0 to U+024F), a digit, a sign, or odd."""
+    kind = np.full(256, _ODD, np.uint8)
+    kind[33:127] = _SIGN
+    kind[ord("'")] = _ODD
+    kind[0x80:0xC0] = kind[0xC3:0xCA] = _LETTER
+    kind[ord("a") : ord("z") + 1] = kind[ord("A") : ord("Z") + 1] = _LETTER
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    return kind
 
 
-class WordCoder:
-    """Ids of texts by the ids of their words, and those of plain words by their runs.
+def _letters() -> np.ndarray:
+    """For each two-byte letter from U+00C0 on, its lower case's place among them; -1 where that isn't one of them."""
+    points = [chr(0xC0 + i) for i in range(7 * 64)]
+    lower = [c.lower() for c in points]
+    return np.array([ord(x) - 0xC0 if c not in "\u00d7\u00f7" and c <= "\u024f" and x in points else -1 for c, x in zip(points, lower)], np.int64)
 
-    Right for a tokenizer that lower-cases, drops white space, splits letters, single
-    digits and other signs, and marks the last token of each such run by ``</w>``. Every
-    distinct run is encoded once while it is among the known ones; a word with signs
-    beyond the plain ones (or an apostrophe, or a special token's bar) is encoded whole.
+
+_KIND = _classes()
+_LETTERS = _letters()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Byte-level BPE writes each byte as a character: printable ones as they are, the others from U+0100 on. A blank parts runs here.
+_PRINTED = np.arange(256, dtype="<u4")
+_UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_PRINTED[_UNPRINTED] = np.arange(256, 256 + len(_UNPRINTED))
+_PRINTED[32] = 32
+
+
+def runs_of(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a block's runs one after the other, the runs' sizes, which of them are whole odd words, and the first run of each document.
+
+    A plain word (letters, digits, signs but the apostrophe, no bar of a special token) is parted into runs that the tokenizer
+    treats each by itself: letters, one digit, or signs, in lower case. Any other word is one run, as it is.
+    """
+    data, sizes = block.solid, block.ends - block.starts
+    kind = _KIND[data]
+    after = np.append(data[1:], 0).astype(np.uint8)
+    odd = kind == _ODD
+    flat = _LOWER[data]
+    pair = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    if len(pair):
+        lower = _LETTERS[(data[pair].astype(np.int64) - 0xC3) * 64 + (after[pair] & 0x3F)]
+        odd[pair] |= lower < 0
+        flat[pair], flat[pair + 1] = 0xC3 + (lower >> 6), 0x80 + (lower & 0x3F)
+    odd |= (data == ord("<")) & (after == ord("|"))
+    opens = np.cumsum(sizes) - sizes
+    whole = np.unique(np.searchsorted(opens, np.flatnonzero(odd), "right") - 1)
+    if len(whole):
+        at = np.repeat(opens[whole] - np.cumsum(sizes[whole]) + sizes[whole], sizes[whole]) + np.arange(sizes[whole].sum())
+        kind[at], flat[at] = _WHOLE, data[at]
+    new = kind == _DIGIT
+    new[1:] |= kind[1:] != kind[:-1]
+    new[opens] = True
+    starts = np.flatnonzero(new)
+    first = np.searchsorted(starts, np.append(opens, len(data))[block.first])
+    return flat, np.diff(np.append(starts, len(data))), kind[starts] == _WHOLE, first
+
+
+class RunCoder:
+    """Ids of texts by the ids of their distinct runs (see ``runs_of``), which are kept under a hash, with their bytes.
+
+    Right for a tokenizer that lower-cases, drops white space, splits letters, single digits and other signs, and
+    marks the last token of each such run by ``</w>``. What is found under a hash is compared byte by byte; where
+    two runs share one, all runs get other hashes.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
+        self.path, self.salt = path, 0
+        vocabulary = _tokenizer(path).get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.runs: dict[str, list[int]] = {}
         self.clear()
 
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.ends = np.zeros(1, np.int64)
-
-    def _learn(self, runs: list[str]) -> None:
-        """Encode runs in one text, and part its ids where a run's last token is."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.int64)
-        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-        if len(ends) != len(runs):
-            raise ValueError("the tokenizer doesn't close each run with one token")
-        flat, at = ids.tolist(), 0
-        for run, end in zip(runs, ends):
-            self.runs[run] = flat[at:end]
-            at = end
-
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        if len(self.runs) > KNOWN_WORDS:
-            self.runs.clear()
-        simple = [_RUN.findall(w.lower()) if _SIMPLE.fullmatch(w) and "<|" not in w else None for w in words]
-        new = list({r for runs in simple if runs for r in runs if r not in self.runs})
-        if new:
-            self._learn(new)
-        whole = iter(self.tokenizer.encode_batch_fast([w for w, runs in zip(words, simple) if runs is None], add_special_tokens=False))
-        get = self.runs.__getitem__
-        coded = [next(whole).ids if runs is None else list(chain.from_iterable(map(get, runs))) for runs in simple]
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        first = len(self.ends) - 1
-        self.ends = np.concatenate([self.ends, self.used + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(first, first + len(hashes))))
+    def clear(self, room: int = KNOWN_RUNS) -> None:
+        """A table of run numbers; of each run its bytes (from, size) and ids (from, size)."""
+        self.known = HashTable(max(room, KNOWN_RUNS))
+        self.bytes, self.ids = np.empty(0, np.uint8), np.empty(0, np.uint32)
+        self.from_byte, self.n_bytes, self.from_id, self.n_ids = (np.empty(0, np.int64) for _ in range(4))
+
+    def _coded(self, data: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct runs one after the other, and their numbers."""
+        starts = np.cumsum(sizes) - sizes
+        plain, odd = np.flatnonzero(~whole), np.flatnonzero(whole)
+        counts = np.zeros(len(sizes), np.int64)
+        ids = np.empty(0, np.uint32)
+        if len(plain):
+            wide = sizes[plain] + 1
+            spaced = np.full(wide.sum(), 32, np.uint8)
+            spaced[gather(np.cumsum(wide) - wide, sizes[plain])] = data[gather(starts[plain], sizes[plain])]
+            text = _PRINTED[spaced].tobytes().decode("utf-32-le")
+            ids = np.array(_run_tokenizer(self.path).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer doesn't close each run with one token")
+            counts[plain] = np.diff(ends, prepend=0)
+        if len(odd):
+            words = [data[a : a + n].tobytes().decode() for a, n in zip(starts[odd].tolist(), sizes[odd].tolist())]
+            coded = [x.ids for x in _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
+            counts[odd] = [len(x) for x in coded]
+            both = np.empty(counts.sum(), np.uint32)
+            begin = np.cumsum(counts) - counts
+            both[gather(begin[plain], counts[plain])] = ids
+            both[gather(begin[odd], counts[odd])] = np.fromiter(chain.from_iterable(coded), np.uint32)
+            ids = both
+        return ids, counts
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> None:
+        ids, counts = self._coded(data, sizes, whole)
+        n = len(self.n_bytes)
+        self.from_byte = np.append(self.from_byte, len(self.bytes) + np.cumsum(sizes) - sizes)
+        self.from_id = np.append(self.from_id, len(self.ids) + np.cumsum(counts) - counts)
+        self.n_bytes, self.n_ids = np.append(self.n_bytes, sizes), np.append(self.n_ids, counts)
+        self.bytes, self.ids = np.append(self.bytes, data), np.append(self.ids, ids)
+        self.known.add(hashes, np.arange(n, n + len(hashes), dtype=np.int32))
+
+    def _runs(self, data: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> np.ndarray | None:
+        """Each run's number; none where two different runs have one hash."""
+        hashes = byte_hashes(data, sizes, self.salt)
+        starts = np.cumsum(sizes) - sizes
+        run = self.known.find(hashes)
+        open_ = np.flatnonzero(run < 0)
+        if len(open_):
+            new, example, each = np.unique(hashes[open_], return_index=True, return_inverse=True)
+            if len(self.n_bytes) + len(new) > self.known.room:
+                self.clear(len(sizes))
+                return self._runs(data, sizes, whole)
+            first, example = len(self.n_bytes), open_[example]
+            self._learn(new, data[gather(starts[example], sizes[example])], sizes[example], whole[example])
+            run[open_] = first + each
+        if np.array_equal(self.n_bytes[run], sizes) and np.array_equal(self.bytes[gather(self.from_byte[run], sizes)], data):
+            return run
+        return None
 
     def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's documents one after the other, and n + 1 offsets."""
-        distinct, example, each = np.unique(block.hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KNOWN_WORDS:
+        data, sizes, whole, first = runs_of(block)
+        while (run := self._runs(data, sizes, whole)) is None:
+            self.salt += 1
             self.clear()
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            self._add([keys[k] for k in new], [block.word(example[k]).decode() for k in new])
-        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        begin = self.ends[number][each]
-        size = (self.ends[number + 1] - self.ends[number])[each]
-        upto = np.zeros(len(each) + 1, np.int64)
-        np.cumsum(size, out=upto[1:])
-        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
-        return ids, upto[block.first]
+        n = self.n_ids[run]
+        return self.ids[gather(self.from_id[run], n)], np.append(0, np.cumsum(n))[first]
+
+
+@lru_cache(maxsize=1)
+def _coder(path: str) -> RunCoder:
+    return RunCoder(path)
 
 
 def encode_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end_id: int = END_ID) -> DataFrame:
@@ -134,8 +222,8 @@ def encode_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end_id:
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(tokenizer)
-        for block in blocks(batches):
+        coder = _coder(tokenizer)
+        for block in blocks(batches, BLOCK_BYTES):
             ids, at = coder.encode(block)
             ids = ids.astype(kind)
             end = np.array([end_id], kind).tobytes()
