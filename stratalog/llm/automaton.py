@@ -58,26 +58,37 @@ class SuffixAutomaton:
 
     def statistics(self, words: Sequence) -> list[tuple[int, int]]:
         """For each place, (state, length) of the longest match that ends there."""
-        out, state, length = [], 0, 0
+        out, state, length, follow = [], 0, 0, self.next
         for w in words:
-            while state and w not in self.next[state]:
+            to = follow[state].get(w)
+            while to is None and state:
                 state = self.link[state]
                 length = self.length[state]
-            if w in self.next[state]:
-                state, length = self.next[state][w], length + 1
-            else:
+                to = follow[state].get(w)
+            if to is None:
                 length = 0
+            else:
+                state, length = to, length + 1
             out.append((state, length))
         return out
 
     def windows_before(self, words: Sequence, size: int, owner: int) -> list[int]:
         """Starts of the windows of ``size`` words that are also in a sequence of a lesser owner."""
-        found = []
+        return [i for a, b in self.runs_before(words, size, owner) for i in range(a, b + 1)]
+
+    def runs_before(self, words: Sequence, size: int, owner: int) -> list[tuple[int, int]]:
+        """Maximal runs of such starts, as the first and the last one."""
+        found: list[list[int]] = []
+        length_of, link, low = self.length, self.link, self.low
         for end, (state, length) in enumerate(self.statistics(words), 1):
             if length < size:
                 continue
-            while self.length[self.link[state]] >= size:
-                state = self.link[state]
-            if self.low[state] < owner:
-                found.append(end - size)
-        return found
+            while length_of[link[state]] >= size:
+                state = link[state]
+            if low[state] < owner:
+                start = end - size
+                if found and found[-1][1] == start - 1:
+                    found[-1][1] = start
+                else:
+                    found.append([start, start])
+        return [(a, b) for a, b in found]
