@@ -3,16 +3,21 @@
 A classifier fitted on labelled rows gives each document a posterior over domains; a domain is a
 value of the labels (here: how good and how toxic a text is). The expected tokens of domain k are
 E_k = sum over documents of rate * tokens * posterior_k. Rates are nonnegative and solve
-the least squares problem min |E - T|^2 by projected gradient descent from rate 1, in
-coordinates scaled by the domains' own masses, which makes the problem well conditioned.
+the least squares problem min sum of ((E_k - T_k) / T_k)^2 by projected gradient descent from rate 1. A step is taken in the metric of the
+documents whose rate isn't at its floor (their K x K Gram matrix), as a gradient step of length 1 then solves the problem
+for those, and few steps are needed; one that makes things worse is halved.
 
 The rates are one number per document, but the gradient depends on a document only through its
-posterior and the K residuals. So an iteration is one aggregate over the table (K sums to the
-driver), and a document's rate is a fold over the residuals since the rates were last
+posterior and the K residuals. So an iteration is one aggregate over the table (K sums and the Gram matrix to the
+driver), and a document's rate is a fold over the steps since the rates were last
 written, in the end over all of them: no rate is ever shuffled, and no text is written again.
 
+Targets are met when every domain is within ``TOLERANCE`` of its own target (of 1e-6 of all tokens, if that is more). Where they
+can't be met (a domain that no document may have, say) the iterations end after ``ITERATIONS``, and ``met`` says so.
+
 A null or empty text has no tokens; it counts nowhere and keeps rate 1. Without labelled rows of two
-domains or more there is one domain, ``all``, and every rate is 1. A null key is like any other key.
+domains or more there is one domain, ``all``, and every rate is 1. A null key is like any other key. Of rows that share a labelled
+key, the classifier is fitted on the least text.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -32,7 +38,7 @@ from stratalog.llm.session import materialise, table
 #: Labelled rows that the classifier is fitted on, about; kept by a hash of the key.
 TRAIN_ROWS = 10_000
 FEATURES = 1 << 13
-ITERATIONS, TOLERANCE = 60, 1e-3
+ITERATIONS, TOLERANCE = 30, 2e-3
 #: Steps after which the rates so far are written, so that no fold gets longer.
 FOLDED = 6
 #: Share of the tokens each domain of op8 is to have.
@@ -67,7 +73,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, keep: list[str], train_r
     rate = min(1.0, train_rows / n) if n else 1.0
     sample = domain.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixing")), F.lit(1 << 20)) < math.ceil(rate * (1 << 20)))
     # Bounded by train_rows, so it may be broadcast.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("domain").alias("domain"))
     train = materialise(_vectors(labelled).select("domain", "features"), "mixing-train")
     counts = {r["domain"]: r["count"] for r in train.groupBy("domain").count().collect()}
     domains = sorted(counts)
@@ -82,45 +88,67 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, keep: list[str], train_r
     return Posteriors(domains, materialise(scored.select(*keep, "tokens", vector_to_array("__p").alias("posterior")), "mixing-posteriors"))
 
 
-def _fold(start: Column, steps: list[list[float]], weight: Column, k: int) -> Column:
+def _fold(start: Column, steps: list[list[float]], k: int) -> Column:
     """The rate after the given steps (each K numbers), floored at 0 in each."""
     if not steps:
         return start
     moves = F.array(*[F.array(*[F.lit(x) for x in step]) for step in steps])
     towards = lambda m: sum((F.col("posterior")[i] * m[i] for i in range(k)), F.lit(0.0))
-    return F.aggregate(moves, start, lambda r, m: F.greatest(F.lit(0.0), r - weight * towards(m)))
+    return F.aggregate(moves, start, lambda r, m: F.greatest(F.lit(0.0), r - towards(m)))
+
 
+@dataclass
+class Fit:
+    """Rows with their rate; expected and target tokens by domain; whether each target is met."""
 
-def fit_rates(found: Posteriors, shares: dict[str, float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """The rows with their rate, and expected and target tokens by domain. Targets keep the total of tokens."""
+    rows: DataFrame
+    expected: dict[str, float]
+    target: dict[str, float]
+    met: bool
+
+
+def fit_rates(found: Posteriors, shares: dict[str, float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> Fit:
+    """The rates that bring the domains to ``shares`` of the tokens, whose total stays."""
     rows, domains = found.rows, found.domains
-    ks = range(len(domains))
-    expected = lambda rate: [F.sum(rate * F.col("tokens") * F.col("posterior")[k]).alias(f"e{k}") for k in ks]
-    first = rows.agg(*expected(F.lit(1.0))).first()
-    mass = [first[k] or 0.0 for k in ks]
-    total = sum(mass)
+    k = len(domains)
+    p = [F.col("posterior")[i] for i in range(k)]
     plain = rows.withColumn("rate", F.lit(1.0))
-    if not total or len(domains) < 2:
-        return plain, dict(zip(domains, mass)), dict(zip(domains, mass))
-    wanted = [max(0.0, shares.get(d, 0.0)) for d in domains]
-    wanted = [w / sum(wanted) for w in wanted] if sum(wanted) else [1 / len(domains)] * len(domains)
-    target = [w * total for w in wanted]
-    # In these coordinates the problem is close to K separate ones of the same curvature.
-    weight = sum((F.col("posterior")[k] * F.lit(1 / m if m else 0.0) for k, m in enumerate(mass)), F.lit(0.0))
-    gram = rows.agg(*[F.sum(F.col("tokens") * weight * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"g{i}_{j}") for i in ks for j in ks]).first()
-    bound = max(sum(abs(gram[f"g{i}_{j}"]) for j in ks) for i in ks)
-    # The iterations carry no column but what they need; the rows themselves get their rate once, from all steps.
-    held, every, steps, now = plain.select("tokens", "posterior", "rate"), [], [], mass
+
+    def measured(of: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens, and the Gram matrix of the rows whose rate is above 0."""
+        sums = [F.sum(F.col("__rate") * F.col("tokens") * x) for x in p]
+        gram = [F.sum(F.when(F.col("__rate") > 0, F.col("tokens") * p[i] * p[j])) for i in range(k) for j in range(i + 1)]
+        got = [x or 0.0 for x in of.withColumn("__rate", rate).agg(*[c.alias(f"c{i}") for i, c in enumerate(sums + gram)]).first()]
+        whole = np.zeros((k, k))
+        whole[np.tril_indices(k)] = got[k:]
+        return np.array(got[:k]), np.maximum(whole, whole.T)
+
+    held, every, steps = plain.select("tokens", "posterior", "rate"), [], []
+    now, gram = measured(held, F.col("rate"))
+    total = now.sum()
+    if not total or k < 2:
+        return Fit(plain, dict(zip(domains, now.tolist())), dict(zip(domains, now.tolist())), True)
+    share = np.array([max(0.0, shares.get(d, 0.0)) for d in domains])
+    target = (share / share.sum() if share.sum() else np.full(k, 1 / k)) * total
+    unit = np.maximum(target, total * 1e-6)
+    worst = lambda e: float(np.abs((e - target) / unit).max())
+    miss = lambda e: float((((e - target) / unit) ** 2).sum())
+    step = None
     for _ in range(iterations):
-        residual = [e - t for e, t in zip(now, target)]
-        if max(abs(r) for r in residual) <= tolerance * total:
+        if worst(now) <= tolerance:
             break
-        steps.append([r / bound for r in residual])
-        every.append(steps[-1])
+        if step is None:
+            step = np.linalg.lstsq(gram + np.diag(np.full(k, 1e-12 * total)), now - target, rcond=None)[0]
         if len(steps) == FOLDED:
-            held, steps = materialise(held.withColumn("rate", _fold(F.col("rate"), steps, weight, len(domains))), "mixing-rates"), []
-        now = [x or 0.0 for x in held.agg(*expected(_fold(F.col("rate"), steps, weight, len(domains)))).first()]
-    return plain.withColumn("rate", _fold(F.col("rate"), every, weight, len(domains))), dict(zip(domains, now)), dict(zip(domains, target))
+            held, steps = materialise(held.withColumn("rate", _fold(F.col("rate"), steps, k)), "mixing-rates"), []
+        then, after = measured(held, _fold(F.col("rate"), [*steps, step.tolist()], k))
+        if miss(then) < miss(now):
+            steps.append(step.tolist())
+            every.append(step.tolist())
+            now, gram, step = then, after, None
+        else:
+            step = step / 2
+    return Fit(plain.withColumn("rate", _fold(F.col("rate"), every, k)), dict(zip(domains, now.tolist())), dict(zip(domains, target.tolist())), worst(now) <= tolerance)
 
 
 def copies(rate: Column, key: Column, seed: int = 0) -> Column:
@@ -130,9 +158,9 @@ def copies(rate: Column, key: Column, seed: int = 0) -> Column:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, domain posteriors, rate and copies of every document."""
+    """Tokens, domain posteriors, rate and copies of every document, and whether the targets are met."""
     found = with_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
-    rows, _, _ = fit_rates(found, TARGETS)
+    fit = fit_rates(found, TARGETS)
     named = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(found.domains)]
-    rated = rows.withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("rate")))
-    return rated.select("doc_id", "tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    rated = fit.rows.withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("rate")))
+    return rated.select("doc_id", "tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(fit.met).alias("targets_met"))
