@@ -1,21 +1,27 @@
 """Secrets in whole texts: three patterns, and a character network for what they miss.
 
-``base_spans`` finds assignments, access keys and hex strings. Every other run of 16 or more
-of the characters that keys are made of is a candidate. A convolutional network in numpy scores it with its context; it is trained here, on findings that the
-patterns label: their own values against the candidates they leave. Its outputs are
+``base_spans`` finds assignments, access keys and hex strings. Every run of 16 or more
+of the characters that keys are made of is a candidate. A convolutional network in numpy scores each with its context; it is trained here, on
+findings that the patterns label. Since it is to find what they miss, a labelled secret is shown to it in three forms:
+as it stands; without the key word, signs and quotes that gave it away; and so with its value written
+in another alphabet. Candidates that the patterns leave are the other class, but for those shaped like a secret
+(``shaped``), which may be one. The network's outputs are
 calibrated on findings kept aside (Platt scaling), and the threshold is the highest that keeps
-``recall`` of the positives among those.
+``recall`` of the positives among those. A run it accepts is a span of its own, unless a base span touches it; base findings
+that it accepts are counted as confirmed.
 
 Spans are (kind, start, end) in code points, the end exclusive. A null text counts as empty. Where
-too few findings are labelled (``LEAST_LABELLED`` of either label) no network is trained, and it adds nothing.
+too few findings are labelled (``LEAST_LABELLED`` of either label) no network is trained, and it adds nothing. Runs of any length
+are scored whole, in batches of ``BATCH`` pieces.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +36,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Documents that findings for training are taken from, about, and findings of each label at most.
-TRAIN_DOCS, TRAIN_FINDINGS, LEAST_LABELLED = 20_000, 3_000, 20
+_ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "0123456789ABCDEF")
+#: Documents that findings for training are taken from, about; findings of each label at most, and their length.
+TRAIN_DOCS, TRAIN_FINDINGS, TRAIN_LENGTH, LEAST_LABELLED = 20_000, 3_000, 512, 20
 #: Code points of context on either side.
 CONTEXT = 24
-WIDTH, EMBEDDING, FILTERS, PIECE = 5, 8, 24, 96
+WIDTH, EMBEDDING, FILTERS, PIECE, BATCH = 5, 8, 24, 96, 512
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -47,17 +54,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Runs that no base span touches."""
-    out, at = [], 0
-    merged = sorted((s, e) for _, s, e in base)
+    opens, closes = [], []
+    for _, start, end in base:
+        if closes and start <= closes[-1]:
+            closes[-1] = max(closes[-1], end)
+        else:
+            opens.append(start)
+            closes.append(end)
+    out = []
     for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
-        while at < len(merged) and merged[at][1] <= start:
-            at += 1
-        if not any(s < end and e > start for s, e in merged[at : at + 8]):
-            out.append((start, end))
+        at = bisect.bisect_right(closes, m.start())
+        if at == len(opens) or opens[at] >= m.end():
+            out.append(m.span())
     return out
 
 
+def shaped(run: str) -> bool:
+    """Whether a run looks like a secret: letters and four digits or more, or capitals, small letters and digits mixed."""
+    digits = sum(c.isdigit() for c in run)
+    letters = {c.isupper() for c in run if c.isalpha()}
+    return (digits >= 4 and bool(letters)) or (len(letters) == 2 and digits > 0)
+
+
+def shown(text: str, span: tuple[int, int, int]) -> list[tuple[str, int, int]]:
+    """The forms in which a base finding is learned: (text, start, end) of its value and context."""
+    start, end = value_span(text, span)
+    value, before, after = text[start:end], text[max(0, span[1] - CONTEXT) : span[1]], text[end : end + CONTEXT].lstrip("\"'")
+    digest = hashlib.shake_256(value.encode()).digest(len(value))
+    alphabet = _ALPHABETS[digest[0] % len(_ALPHABETS)]
+    other = "".join(alphabet[x % len(alphabet)] for x in digest)
+    low = max(0, start - CONTEXT)
+    return [(text[low : end + CONTEXT], start - low, end - low), (before + value + after, len(before), len(before) + len(value)), (before + other + after, len(before), len(before) + len(value))]
+
+
 def value_span(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
     """Where the secret itself is in a base finding."""
     kind, start, end = span
@@ -68,9 +97,14 @@ def codes(text: str, start: int, end: int) -> np.ndarray:
     """Rows (character class, inside the candidate) of a candidate with its context."""
     low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
     raw = np.frombuffer(text[low:high].encode("utf-32-le"), "<u4")
-    inside = np.zeros(len(raw), np.int64)
+    inside = np.zeros(len(raw), np.uint8)
     inside[start - low : end - low] = 1
-    return np.stack([np.where((raw >= 32) & (raw < 127), raw - 31, np.where(raw < 32, 96, 0)).astype(np.int64), inside])
+    return np.stack([np.where((raw >= 32) & (raw < 127), raw - 31, np.where(raw < 32, 96, 0)).astype(np.uint8), inside])
+
+
+def starts(found: np.ndarray) -> range:
+    """Where the pieces of a finding begin."""
+    return range(0, max(1, found.shape[1] - WIDTH + 1), PIECE)
 
 
 @dataclass
@@ -94,12 +128,12 @@ class Network:
 
     def pooled(self, found: list[np.ndarray]) -> tuple[np.ndarray, list]:
         """Filters' maxima for each finding, over pieces of at most PIECE places that overlap by a kernel's width."""
-        pieces, owner = [], []
-        for i, f in enumerate(found):
-            n = max(1, f.shape[1] - WIDTH + 1)
-            for at in range(0, n, PIECE):
-                pieces.append(f[:, at : at + PIECE + WIDTH - 1])
-                owner.append(i)
+        owner = np.repeat(np.arange(len(found)), [len(starts(f)) for f in found])
+        top, rest = self._tops([f[:, at : at + PIECE + WIDTH - 1] for f in found for at in starts(f)])
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        return np.maximum.reduceat(top, first, axis=0), [*rest, top, owner]
+
+    def _tops(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, list]:
         longest = max(max(p.shape[1] for p in pieces), WIDTH)
         chars, role, real = np.zeros((len(pieces), longest), np.int64), np.zeros((len(pieces), longest), np.int64), np.zeros((len(pieces), longest - WIDTH + 1), bool)
         for i, p in enumerate(pieces):
@@ -109,22 +143,37 @@ class Network:
         view = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(pieces), longest - WIDTH + 1, -1)
         act = np.where(real[:, :, None], np.maximum(view @ self.kernel + self.bias, 0), -1.0)
         best = act.argmax(axis=1)
-        top = np.take_along_axis(act, best[:, None], 1)[:, 0]
-        owner = np.array(owner)
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        return np.maximum.reduceat(top, first, axis=0), [chars, role, view, best, top, owner]
+        return np.take_along_axis(act, best[:, None], 1)[:, 0], [chars, role, view, best]
 
-    def logits(self, found: list[np.ndarray]) -> np.ndarray:
-        out = [self.pooled(found[i : i + 256])[0] @ self.out + self.shift for i in range(0, len(found), 256)]
-        return np.concatenate(out) if out else np.empty(0)
+    def logits(self, found: Iterable[np.ndarray]) -> np.ndarray:
+        """Of findings as they come: no more than BATCH pieces, of few or of one, are held at once."""
+        out: list[np.ndarray] = []
+        pieces: list[np.ndarray] = []
+        owner: list[int] = []
 
-    def probabilities(self, found: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.logits(found) * self.scale + self.offset)))
+        def flush() -> None:
+            for i, top in zip(owner, self._tops(pieces)[0] if pieces else ()):
+                out[i] = np.maximum(out[i], top)
+            pieces.clear()
+            owner.clear()
+
+        for i, f in enumerate(found):
+            out.append(np.full(FILTERS, -np.inf))
+            for at in starts(f):
+                pieces.append(f[:, at : at + PIECE + WIDTH - 1])
+                owner.append(i)
+                if len(pieces) == BATCH:
+                    flush()
+        flush()
+        return np.array(out).reshape(-1, FILTERS) @ self.out + self.shift
+
+    def probabilities(self, found: Iterable[np.ndarray]) -> np.ndarray:
+        return sigmoid(self.logits(found) * self.scale + self.offset)
 
     def step(self, found: list[np.ndarray], label: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean log loss."""
         pool, (chars, role, view, best, top, owner) = self.pooled(found)
-        p = 1 / (1 + np.exp(-(pool @ self.out + self.shift)))
+        p = sigmoid(pool @ self.out + self.shift)
         error = (p - label) / len(label)
         back = error[:, None] * self.out
         # A filter's gradient flows to the first piece that reaches the maximum, and there to its place.
@@ -150,7 +199,29 @@ class Network:
         return [embed, roles, kernel.T, bias, pool.T @ error, np.array([error.sum()])]
 
 
-def train(found: list[np.ndarray], label: np.ndarray, aside: np.ndarray, recall: float = 0.98, epochs: int = 6, seed: int = 7) -> Network | None:
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
+def _platt(z: np.ndarray, goal: np.ndarray) -> tuple[float, float]:
+    """Scale and offset of the logits that fit the goals best, by Newton steps that are halved where they overshoot."""
+    loss = lambda a, b: float((np.logaddexp(0, a * z + b) - goal * (a * z + b)).sum() + 5e-4 * a * a)
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = sigmoid(a * z + b)
+        w, e = p * (1 - p) + 1e-9, p - goal
+        h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
+        da, db = np.linalg.solve(h, [(e * z).sum() + 1e-3 * a, e.sum()])
+        part = 1.0
+        while part > 1e-6 and loss(a - part * da, b - part * db) > loss(a, b):
+            part /= 2
+        a, b = a - part * da, b - part * db
+        if part * (abs(da) + abs(db)) < 1e-9:
+            break
+    return float(a), float(b)
+
+
+def train(found: list[np.ndarray], label: np.ndarray, aside: np.ndarray, recall: float = 0.98, epochs: int = 8, seed: int = 7) -> Network | None:
     """A network fitted on the findings not ``aside``, calibrated on those that are."""
     if min((label[~aside] == y).sum() for y in (0, 1)) < LEAST_LABELLED / 2 or min((label[aside] == y).sum() for y in (0, 1)) < LEAST_LABELLED / 4:
         return None
@@ -168,23 +239,15 @@ def train(found: list[np.ndarray], label: np.ndarray, aside: np.ndarray, recall:
     z, y = net.logits([found[i] for i in np.flatnonzero(aside)]), label[aside]
     # Platt's targets keep the fit finite where the labels are parted without error.
     goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        w, e = p * (1 - p) + 1e-9, p - goal
-        h = np.array([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, [(e * z).sum(), e.sum()])
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
-            break
-    net.scale, net.offset = float(a), float(b)
-    p = np.sort(1 / (1 + np.exp(-(a * z[y == 1] + b))))
+    net.scale, net.offset = a, b = _platt(z, goal)
+    p = np.sort(sigmoid(a * z[y == 1] + b))
     net.threshold = float(p[math.floor((1 - recall) * len(p))])
     return net
 
 
 def labelled_findings(docs: DataFrame, key: str, train_docs: int = TRAIN_DOCS, per_label: int = TRAIN_FINDINGS) -> list:
-    """(text, start, end, label): bounded by the parameters, whatever the input; text is the value with its context."""
+    """(text, start, end, label, value): bounded by the parameters, whatever the input; text is the value with its context."""
+    ship(docs.sparkSession)
     n = docs.count()
     rate = min(1.0, train_docs / n) if n else 1.0
     kept = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("secrets")), F.lit(1 << 20)) < math.ceil(rate * (1 << 20)))
@@ -197,38 +260,47 @@ def labelled_findings(docs: DataFrame, key: str, train_docs: int = TRAIN_DOCS, p
                 if not text:
                     continue
                 base = base_spans(text)
-                spans = [(*value_span(text, s), 1) for s in base] + [(*s, 0) for s in candidates(text, base)]
-                for start, end, label in spans:
-                    low = max(0, start - CONTEXT)
-                    rows.add((text[low : end + CONTEXT], start - low, end - low, label))
+                for s in base:
+                    if s[2] - s[1] <= TRAIN_LENGTH:
+                        key = value_span(text, s)
+                        rows |= {(*form, 1, text[slice(*key)]) for form in shown(text, s)}
+                for start, end in candidates(text, base):
+                    if end - start <= TRAIN_LENGTH and not shaped(text[start:end]):
+                        low = max(0, start - CONTEXT)
+                        rows.add((text[low : end + CONTEXT], start - low, end - low, 0, text[start:end]))
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*sorted(rows)), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["text", "start", "end", "label"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*sorted(rows)), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["text", "start", "end", "label", "value"])
 
-    found = materialise(kept.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string, start long, end long, label long").distinct(), "secret-findings")
+    found = materialise(kept.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string, start long, end long, label long, value string").distinct(), "secret-findings")
     order = [F.xxhash64("text", "start", "end"), "text", "start", "end"]
     return [r for y in (0, 1) for r in found.where(F.col("label") == y).orderBy(*order).limit(per_label).collect()]
 
 
 def fit(docs: DataFrame, key: str = "doc_id") -> Network | None:
-    ship(docs.sparkSession)
     rows = labelled_findings(docs, key)
     found = [codes(r["text"], r["start"], r["end"]) for r in rows]
-    aside = np.array([hashlib.sha256(f"{r['text']}:{r['start']}".encode()).digest()[0] % 2 == 0 for r in rows], bool)
+    # All forms of a secret are on one side.
+    aside = np.array([hashlib.sha256((r["value"] if r["label"] else r["text"]).encode()).digest()[0] % 2 == 0 for r in rows], bool)
     return train(found, np.array([r["label"] for r in rows], np.float64), aside) if rows else None
 
 
-def spans_of(texts: list[str], net: Network | None) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text."""
+def spans_of(texts: list[str], net: Network | None) -> list[tuple[list, list, int]]:
+    """Base spans and all spans of each text, and how many base findings the network confirms."""
     base = [base_spans(t) for t in texts]
     if net is None:
-        return [(b, b) for b in base]
-    open_ = [(i, *s) for i, (t, b) in enumerate(zip(texts, base)) for s in candidates(t, b)]
+        return [(b, b, 0) for b in base]
+    scored = [(i, s, e, False) for i, (t, b) in enumerate(zip(texts, base)) for s, e in candidates(t, b)]
+    scored += [(i, *value_span(texts[i], s), True) for i, b in enumerate(base) for s in b]
     added: dict[int, list] = {}
-    p = net.probabilities([codes(texts[i], s, e) for i, s, e in open_])
-    for (i, s, e), x in zip(open_, p):
+    confirmed = [0] * len(texts)
+    p = net.probabilities(codes(texts[i], s, e) for i, s, e, _ in scored)
+    for (i, s, e, known), x in zip(scored, p):
         if x >= net.threshold:
-            added.setdefault(i, []).append((3, s, e))
-    return [(b, sorted(b + added[i], key=lambda s: (s[1], s[0])) if i in added else b) for i, b in enumerate(base)]
+            if known:
+                confirmed[i] += 1
+            else:
+                added.setdefault(i, []).append((3, s, e))
+    return [(b, sorted(b + added[i], key=lambda s: (s[1], s[0])) if i in added else b, confirmed[i]) for i, b in enumerate(base)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -236,7 +308,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, net: Network | None, key: str = "doc_id") -> DataFrame:
-    """(key, n_assign, n_access, n_hex, n_network, base_sha256, spans) of each row."""
+    """(key, n_assign, n_access, n_hex, n_network, n_confirmed, base_sha256, spans) of each row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -246,12 +318,12 @@ def scan(docs: DataFrame, net: Network | None, key: str = "doc_id") -> DataFrame
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = spans_of([t or "" for t in part.column("text").to_pylist()], shared.value)
-                counts = [pa.array([sum(s[0] == k for s in every) for _, every in found], pa.int64()) for k in range(4)]
-                digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found])
-                yield pa.record_batch([part.column("key"), *counts, digest, pa.array([joined(e) for _, e in found])], [key, "n_assign", "n_access", "n_hex", "n_network", "base_sha256", "spans"])
+                counts = [pa.array([sum(s[0] == k for s in every) for _, every, _ in found], pa.int64()) for k in range(4)]
+                digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _, _ in found])
+                yield pa.record_batch([part.column("key"), *counts, pa.array([n for *_, n in found], pa.int64()), digest, pa.array([joined(e) for _, e, _ in found])], [key, "n_assign", "n_access", "n_hex", "n_network", "n_confirmed", "base_sha256", "spans"])
 
     source = docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"{key} long, n_assign long, n_access long, n_hex long, n_network long, base_sha256 string, spans string")
+    return source.mapInArrow(run, f"{key} long, n_assign long, n_access long, n_hex long, n_network long, n_confirmed long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, net: Network | None, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -274,7 +346,7 @@ def redact(docs: DataFrame, net: Network | None, text: str = "text", mark: str =
         for batch in batches:
             texts = batch.column(place).to_pylist()
             found = spans_of([t or "" for t in texts], shared.value)
-            done = pa.array([clean(t, every) if every else t for t, (_, every) in zip(texts, found)], pa.string())
+            done = pa.array([clean(t, every) if every else t for t, (_, every, _) in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays([done if i == place else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
 
     clean_rows = docs.mapInArrow(run, docs.schema)
