@@ -266,24 +266,32 @@ def padded(raw: bytes) -> bytes:
 
 
 def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
-    """(key, packet, track, timestamp, keyframe, lacing, offset, size) of every file of a binary column.
+    """(key, packet, track, timestamp, keyframe, lacing, offset, size, error) of every file of a binary column.
 
-    A null file has no packets. One that isn't whole raises.
+    A null file has no packets. One that isn't whole has a single row, of its key and what is wrong with it.
     """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, file in zip(batch.column(0), batch.column(1)):
-                if file.is_valid and (packets := parse(file.as_py()).packets):
-                    yield pa.record_batch([pa.array([k.as_py()] * len(packets), k.type), pa.array(range(len(packets)), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*packets), _PACKET))], _PACKET_NAMES)
+                if not file.is_valid:
+                    continue
+                error = None
+                try:
+                    packets = [(i, *p) for i, p in enumerate(parse(file.as_py()).packets)]
+                except (ValueError, LookupError, struct.error) as e:
+                    packets, error = [(None,) * (1 + len(_PACKET))], f"{type(e).__name__}: {e}"
+                if packets:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*packets), (pa.int64(), *_PACKET))]
+                    yield pa.record_batch([pa.array([k.as_py()] * len(packets), k.type), *columns, pa.array([error] * len(packets), pa.string())], _PACKET_NAMES)
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, f"key {kind}, packet long, track long, timestamp long, keyframe boolean, lacing long, offset long, size long")
+    return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, f"key {kind}, packet long, track long, timestamp long, keyframe boolean, lacing long, offset long, size long, error string")
 
 
 _PACKET = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-_PACKET_NAMES = ["key", "packet", "track", "timestamp", "keyframe", "lacing", "offset", "size"]
+_PACKET_NAMES = ["key", "packet", "track", "timestamp", "keyframe", "lacing", "offset", "size", "error"]
 
 
 def store(docs: DataFrame, key: str = "doc_id") -> DataFrame:

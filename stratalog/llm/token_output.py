@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import rans
-from stratalog.llm.session import materialise, shared_folder, ship, table
+from stratalog.llm.session import materialise, shared_folder, ship, table, tidy
 from stratalog.llm.words import HashTable, blocks, byte_hashes, gather
 
 #: Symbols of a block are at least this many, but for the last one of a partition.
@@ -39,7 +39,7 @@ BLOCK_SYMBOLS = 1 << 18
 #: Distinct runs whose ids a worker keeps, from task to task.
 KNOWN_RUNS = 1 << 21
 #: Bytes of text that are encoded at once.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 END_ID = 1
 
 
@@ -221,6 +221,7 @@ def encode_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end_id:
     wide = _tokenizer(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer)
         for block in blocks(batches, BLOCK_BYTES):
@@ -237,6 +238,7 @@ def encode_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end_id:
 def _symbol_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     """Occurrences of every id over all rows. The counts are bounded by the vocabulary."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
@@ -267,6 +269,7 @@ def write_blocks(tokens: DataFrame, path: str, wide: bool = False, partitions: i
     spark.createDataFrame([(bytearray(freq),)], "frequencies binary").coalesce(1).write.parquet(f"{path}/frequencies")
     shared = spark.sparkContext.broadcast(freq)
 
+    @tidy
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = rans.table(shared.value)
         keys: list[int | None] = []
@@ -312,6 +315,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     for part, n in sorted(map(tuple, stored.groupBy("part").agg(F.sum("symbols")).collect())):
         before[part], total = total, total + n
 
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = rans.table(shared.value)
         for batch in batches:
