@@ -2,15 +2,17 @@
 
 ``listed`` judges a URL by the longest host-and-path rule that fits. ``mine`` takes labelled
 URLs as transactions of their tokens and a bad or good item, finds frequent itemsets by
-FP-growth, and keeps rules "tokens -> bad" of enough support and confidence, dropping
-each that a rule with fewer tokens and no less confidence covers. ``matches`` finds the URLs that
+FP-growth, and keeps rules "tokens -> bad" of enough support and confidence, of any number of tokens, dropping
+each that a rule with fewer of its tokens and no less confidence covers. ``matches`` finds the URLs that
 a rule's tokens are all in, by an inverted index: a rule is kept under its rarest token, so
 a URL is compared with the rules of its own tokens alone.
 
 Tokens are the host's labels (``h:``), path segments (``p:``, a digit run as ``0``), names of query
-parameters (``q:``), and the scheme (``s:``). Mining and matching take all tokens. For FP-growth a labelled URL of more than
-``MINED_TOKENS`` frequent tokens is dealt over baskets of that size in which any two of its tokens meet, which bounds the
-itemsets; what it finds are candidates, and their counts are made anew over the whole URLs. Rules have ``MAX_TOKENS`` = 2 tokens at most.
+parameters (``q:``), and the scheme (``s:``). Mining and matching take all tokens. Frequent tokens that are in the very same labelled
+URLs make one class, as no rule can tell them apart: classes are what is mined, and a URL has a class if it has one of its tokens.
+Itemsets grow with the power of a URL's classes. So one with more than ``MINED`` of them is dealt over baskets of that size in which any
+two of its classes meet: rules of one and two classes are complete for URLs of any length, longer ones for URLs of up to
+``MINED`` classes. What FP-growth finds are candidates; their counts are made anew over the whole URLs.
 
 A null URL, or one without ``://``, has an empty host and path, no tokens, and is allowed unless listed.
 """
@@ -27,7 +29,7 @@ from stratalog.llm.session import materialise, table
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS, MINED_TOKENS = 0.002, 5, 0.6, 2, 10
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MINED = 0.002, 5, 0.6, 16
 BAD = "label:bad"
 #: Rules up to which the index is broadcast; beyond, it is joined by token.
 FEW_RULES = 100_000
@@ -62,50 +64,63 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 
 def baskets_of(whole: DataFrame) -> DataFrame:
-    """whole (row, kept) with, for each row, one basket of all its tokens or several of MINED_TOKENS; any two tokens of a row are in one."""
-    half = MINED_TOKENS // 2
+    """whole (row, kept) with, for each row, one basket of all its items or several of MINED; any two items of a row are in one."""
+    half = MINED // 2
     part = lambda i: F.slice("kept", i * half + 1, half)
-    short = whole.where(F.size("kept") <= MINED_TOKENS).withColumn("basket", F.col("kept"))
-    long = whole.where(F.size("kept") > MINED_TOKENS).withColumn("parts", F.ceil(F.size("kept") / half).cast("int"))
+    short = whole.where(F.size("kept") <= MINED).withColumn("basket", F.col("kept"))
+    long = whole.where(F.size("kept") > MINED).withColumn("parts", F.ceil(F.size("kept") / half).cast("int"))
     long = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 2))).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("parts") - 1)))
     return short.union(long.withColumn("basket", F.concat(part(F.col("i")), part(F.col("j")))).select(*whole.columns, "basket"))
 
 
+def _within(left: DataFrame, index: DataFrame) -> DataFrame:
+    """left (items, ...) with each set of index (item, set, ...) that is within its items; a set stands under one of its own."""
+    return left.withColumn("item", F.explode("items")).join(index, "item").where(F.size(F.array_except("set", "items")) == 0).drop("item")
+
+
+def _indexed(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """sets (set, ...) with ``item``, the rarest of its items by counts (item, count)."""
+    rare = sets.select("set", F.explode("set").alias("item")).join(counts, "item").groupBy("set").agg(F.min(F.struct("count", "item"))["item"].alias("item"))
+    return sets.join(rare, "set")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, n, confidence) of the rules, from (row, tokens, bad) rows."""
+    """(tokens, members, rare, n, confidence) of the rules, from (row, tokens, bad) rows.
+
+    tokens names each class of a rule by its least token; members has all tokens of each of these classes, rare those of the rarest one.
+    """
     n = labelled.count()
     least = max(min_count, math.ceil(n * min_support))
     single = labelled.select("row", F.explode("tokens").alias("token"))
-    frequent = single.groupBy("token").count().where(F.col("count") >= least)
-    kept = single.join(frequent, "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    both = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"rows{k}") for k in range(2)]
+    frequent = single.groupBy("token").agg(F.count(F.lit(1)).alias("count"), *both).where(F.col("count") >= least)
+    alike = frequent.groupBy("count", "rows0", "rows1").agg(F.min("token").alias("item"), F.collect_set("token").alias("members"))
+    classes = materialise(alike.select("item", "count", "members"), "url-classes")
+    kept = single.join(classes.select("item", F.explode("members").alias("token")), "token").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("kept"))
     whole = materialise(kept.join(labelled.select("row", "bad"), "row"), "url-whole")
     dealt = materialise(baskets_of(whole).select(F.when(F.col("bad"), F.concat("basket", F.array(F.lit(BAD)))).otherwise(F.col("basket")).alias("items")), "url-baskets")
     # Half a basket less, so that rounding never asks for one more.
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, dealt.count())), minConfidence=min_confidence).fit(dealt).freqItemsets
-    sets = sets.where((F.size("items") <= MAX_TOKENS + 1) & (F.size("items") > 1) & F.array_contains("items", BAD))
-    candidates = materialise(sets.select(F.array_sort(F.array_except("items", F.array(F.lit(BAD)))).alias("tokens")), "url-itemsets")
-    one = whole.select("bad", "kept", F.posexplode("kept").alias("i", "token"))
-    rest = F.slice("kept", F.col("i") + 2, F.size("kept"))
-    picks = one.select("bad", F.explode(F.concat(F.array(F.array("token")), F.transform(rest, lambda x: F.array(F.col("token"), x)))).alias("tokens"))
-    counted = picks.join(candidates, "tokens").groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
-    strong = counted.where(F.col("n_bad") >= least).withColumn("confidence", F.col("n_bad") / F.col("n")).where(F.col("confidence") >= min_confidence)
-    strong = materialise(strong, "url-strong")
-    # A rule of two tokens goes if one of them alone is a rule at least as sure.
-    alone = strong.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("confidence").alias("sure"))
-    covered = strong.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("token")).join(alone, "token").where(F.col("sure") >= F.col("confidence")).select("tokens")
-    pruned = strong.join(covered.distinct(), "tokens", "left_anti").select("tokens", "n", "confidence")
-    # The index: each rule under the rarest of its tokens.
-    rare = pruned.select("tokens", "n", "confidence", F.explode("tokens").alias("token")).join(frequent, "token")
-    return rare.groupBy("tokens", "n", "confidence").agg(F.min(F.struct("count", "token"))["token"].alias("token"))
+    sets = sets.where((F.size("items") > 1) & F.array_contains("items", BAD)).select(F.array_sort(F.array_except("items", F.array(F.lit(BAD)))).alias("set"))
+    candidates = materialise(_indexed(sets, classes.select("item", "count")), "url-itemsets")
+    found = _within(whole.select(F.col("kept").alias("items"), "bad"), candidates).groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+    strong = found.where(F.col("n_bad") >= least).withColumn("confidence", F.col("n_bad") / F.col("n")).where(F.col("confidence") >= min_confidence)
+    strong = materialise(_indexed(strong, classes.select("item", "count")), "url-strong")
+    inner = strong.select("item", "set", F.col("confidence").alias("sure"))
+    covered = _within(strong.select(F.col("set").alias("items"), "confidence"), inner).where((F.size("set") < F.size("items")) & (F.col("sure") >= F.col("confidence")))
+    pruned = strong.join(covered.select(F.col("items").alias("set")).distinct(), "set", "left_anti")
+    members = pruned.select("set", F.explode("set").alias("one")).join(classes.select(F.col("item").alias("one"), "members"), "one").groupBy("set").agg(F.collect_list("members").alias("members"))
+    rare = classes.select("item", F.col("members").alias("rare"))
+    return pruned.join(members, "set").join(rare, "item").select(F.col("set").alias("tokens"), "members", "rare", "n", "confidence")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls that some rule covers, from (url, tokens)."""
-    index = materialise(rules.select("token", F.col("tokens").alias("rule")), "url-rules")
+    index = materialise(rules.select(F.explode("rare").alias("token"), F.col("members").alias("rule")), "url-rules")
     if index.count() <= FEW_RULES:
         index = F.broadcast(index)
     found = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return found.where(F.size(F.array_except("rule", "tokens")) == 0).select("url").distinct()
+    return found.where(F.forall("rule", lambda own: F.arrays_overlap(own, F.col("tokens")))).select("url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,13 +163,13 @@ def _oracle() -> str:
     least AS (SELECT greatest({MIN_COUNT}, CAST(ceil(count(*) * {MIN_SUPPORT}) AS BIGINT)) AS m FROM l),
     s AS (SELECT page_id, url, bad, unnest(tokens) AS token FROM l),
     f AS (SELECT token, count(*) AS c FROM s GROUP BY token HAVING count(*) >= (SELECT m FROM least)),
-    k AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY page_id, url ORDER BY c DESC, token) AS place FROM s JOIN f USING (token)) WHERE place <= {MINED_TOKENS}),
-    one AS (SELECT token AS a, CAST(NULL AS VARCHAR) AS b, count(*) AS n, count(*) FILTER (bad) AS n_bad FROM k GROUP BY token),
-    two AS (SELECT x.token AS a, y.token AS b, count(*) AS n, count(*) FILTER (x.bad) AS n_bad FROM k x JOIN k y ON x.page_id = y.page_id AND x.url = y.url AND x.token < y.token GROUP BY x.token, y.token),
-    strong AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE n_bad >= (SELECT m FROM least) AND n_bad / n >= {MIN_CONFIDENCE}),
-    covered AS (SELECT DISTINCT page_id, url FROM t, strong WHERE list_contains(tokens, a) AND (b IS NULL OR list_contains(tokens, b)))
+    k AS (SELECT page_id, url, any_value(bad) AS bad, list_sort(list(token)) AS own FROM s JOIN f USING (token) GROUP BY page_id, url),
+    p AS (SELECT bad, own, unnest(range(1, CAST(1 AS BIGINT) << len(own))) AS pick FROM k),
+    i AS (SELECT bad, list_filter(own, lambda x, j: (pick >> (j - 1)) & 1 = 1) AS items FROM p),
+    strong AS (SELECT items FROM i GROUP BY items HAVING count(*) FILTER (bad) >= (SELECT m FROM least) AND count(*) FILTER (bad) / count(*) >= {MIN_CONFIDENCE}),
+    covered AS (SELECT DISTINCT url FROM t, strong WHERE list_has_all(tokens, items))
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN covered.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, covered.url IS NOT NULL AS mined
-    FROM t LEFT JOIN (SELECT DISTINCT url FROM covered) covered USING (url)
+    FROM t LEFT JOIN covered USING (url)
     """
 
 
