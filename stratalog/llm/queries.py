@@ -14,6 +14,7 @@ from stratalog.llm.pieces import op10_sentencepiece
 from stratalog.llm.quality import ORACLE as QUALITY_SQL
 from stratalog.llm.quality import op9_quality_rules
 from stratalog.llm.secrets import op3_secret_scans
+from stratalog.llm.substring_dedup import ORACLE as REPEAT_SQL
 from stratalog.llm.substring_dedup import op5_substring_dedup
 from stratalog.llm.token_output import op7_token_output
 from stratalog.llm.urls import ORACLE as URL_SQL
@@ -43,5 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": URL_SQL,
+    "op5_substring_dedup": REPEAT_SQL,
     "op9_quality_rules": QUALITY_SQL,
 }

@@ -286,3 +286,15 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, size: int = WI
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 words and more that documents of lesser doc_id have."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = rf"""
+    WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    win AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
+    low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    gone AS (SELECT DISTINCT doc_id, i + k AS j FROM win JOIN low USING (h), range({WINDOW}) r(k) WHERE low < doc_id),
+    one AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM one ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """
