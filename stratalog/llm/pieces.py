@@ -1,7 +1,7 @@
 """SentencePiece segmentations sampled from the piece lattice, and their lossless decoding.
 
-A text is parted at each blank (written as U+2581, which opens a word). No piece but
-runs of U+2581 crosses such a place, so a text's lattice is a chain of word lattices,
+A text is parted where a run of blanks begins (written as U+2581; it opens a word). No piece of the model
+crosses such a place, so a text's lattice is a chain of word lattices,
 and sampling each word by itself samples the whole text. For each distinct word of a
 block, forward filtering gives every place in the word the total weight of the ways
 to reach it. Backward sampling then walks all the words of the block at once from their
@@ -72,8 +72,8 @@ class Model:
                 self.bytes_of[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes_of[i] = piece.replace(BLANK, " ").encode()
-                # Runs of blanks would cross the places where a text is parted.
-                if not (len(piece) > 1 and set(piece) == {BLANK}) and BLANK not in piece[1:]:
+                # A piece with a blank behind another character would cross the places where a text is parted.
+                if BLANK not in piece.lstrip(BLANK):
                     found.append((self.bytes_of[i], i))
         scores = np.array([model.get_score(i) for _, i in found])
         order = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
@@ -98,8 +98,9 @@ def model_of(path: str, sharpness: float) -> Model:
 
 
 def part(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of a block's words (each blank opens one), and the first word of each document."""
+    """Starts and ends of a block's words (each run of blanks opens one), and the first word of each document."""
     opens = data == 32
+    opens[1:] &= data[:-1] != 32
     opens[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(opens)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts

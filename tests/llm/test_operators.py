@@ -844,14 +844,20 @@ def test_pieces_are_lossless_and_reproducible(docs):
     assert Counter((r["doc_id"], tuple(r["pieces"])) for r in again.collect()) == Counter((r["doc_id"], tuple(r["pieces"])) for r in rows)
 
 
-def test_sampling_follows_the_lattice():
+@pytest.mark.parametrize("word", [b" theme", b"    if", b"x      "])
+def test_sampling_follows_the_lattice(word):
+    """Every way to part a word is drawn as often as its weight says, pieces of several blanks included."""
     model = pieces.model_of(P.path("piece_bpe_32k.model"), 0.4)
-    word = b" theme"
     known = {model.bytes_of[i]: w for i, w in zip(model.piece_id, model.weight)}
 
     def ways(rest):
         if not rest:
             yield (), 0.0
+        if rest[:1] != b" " and b" " in rest:
+            # A run of blanks opens a word of its own.
+            head, tail = rest[: rest.index(b" ")], rest[rest.index(b" ") :]
+            yield from ((a + b, x + y) for a, x in ways(head) for b, y in ways(tail))
+            return
         for n in range(1, len(rest) + 1):
             if rest[:n] in known:
                 for tail, w in ways(rest[n:]):
@@ -860,6 +866,7 @@ def test_sampling_follows_the_lattice():
     share = {p: math.exp(w) for p, w in ways(word)}
     whole = sum(share.values())
     n = 20_000
+    assert not word.count(b"  ") or any(b"  " in x for p in share for x in p)
     data, offsets = np.frombuffer(word * n, np.uint8), np.arange(n + 1) * len(word)
     ids, at = pieces.sample(data, offsets, np.arange(n).astype(np.uint64), model, 3)
     drawn = Counter(tuple(model.bytes_of[i] for i in ids[at[k] : at[k + 1]]) for k in range(n))
