@@ -294,10 +294,8 @@ class LogTable:
         out |= {(r[0], r[1]): tuple(r)[2:] for r in found.collect() if (r[0], r[1]) in wanted}
         return out
 
-    def plan(self, spec: QuerySpec, stats: QueryStats | None = None) -> tuple[list[str], list[dict]]:
+    def plan(self, spec: QuerySpec, stats: QueryStats, snapshot: dict) -> tuple[list[str], list[dict]]:
         """The paths to read and the tombstones that may count: days, parts by tag, blocks by time, files by trigram."""
-        snapshot = self._snapshot
-        stats = stats if stats is not None else QueryStats()
         paths, seen = [], []
         parts = [p for day in sorted(snapshot["parts"]) if day_overlaps(day, spec.start_ns, spec.end_ns) for p in snapshot["parts"][day]]
         known = self._blocks_inside(parts, spec)
@@ -344,8 +342,8 @@ class LogTable:
         """A search that is planned once: its rows, and the counters known before any row is read."""
         stats = QueryStats()
         with self._lock:
-            paths, found = self.plan(spec, stats)
-            tip = list(self._tip)
+            snapshot, tip = self._snapshot, list(self._tip)
+        paths, found = self.plan(spec, stats, snapshot)
         inside = [r for r in tip if day_overlaps(day_of(r["_time_ns"]), spec.start_ns, spec.end_ns) and self._matches(r, spec.tags)]
         stats.mem_blocks_scanned = len({(day_of(r["_time_ns"]), r["_stream"]) for r in inside})
         stats.rows_scanned += len(inside)
