@@ -267,6 +267,21 @@ def test_texts_that_differ_in_repetitions_are_one_class(spark):
     assert {tuple(x) for x in found.collect()} == {(i, i - i % 2) for i in range(40)}
 
 
+def test_recall_just_above_the_limit(spark):
+    """Pairs of similarity 0.815: four words of two hundred differ. Hardly any is missed."""
+    r = random.Random(51)
+    rows = []
+    for k in range(300):
+        own = prose(r, 200, 10**7)
+        other = list(own)
+        for j in range(4):
+            other[20 + 50 * j] = f"x{k}_{j}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    assert abs(len(shingle_set(rows[0][1]) & shingle_set(rows[1][1])) / len(shingle_set(rows[0][1]) | shingle_set(rows[1][1])) - 0.8148) < 1e-3
+    found = dict(map(tuple, near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()))
+    assert all(found[2 * k] == 2 * k for k in range(300)) and sum(found[2 * k + 1] == 2 * k for k in range(300)) >= 297
+
+
 def test_least_hashes_agree_as_often_as_the_plain_similarity():
     r = np.random.default_rng(6)
     hashes = r.integers(0, 2**64, 400, dtype=np.uint64)
