@@ -14,7 +14,7 @@ class SuffixAutomaton:
 
     def __init__(self, sequences: Iterable[tuple[int, Sequence]]):
         self.next: list[dict] = [{}]
-        self.link, self.length, self.low = [-1], [0], [1 << 62]
+        self.link, self.length, self.low = [-1], [0], [1 << 63]
         for owner, words in sequences:
             last = 0
             for w in words:
@@ -32,7 +32,7 @@ class SuffixAutomaton:
         return len(self.link) - 1
 
     def _split(self, p: int, w, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), 1 << 62)
+        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), 1 << 63)
         self.link[q] = clone
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = clone

@@ -29,7 +29,7 @@ from stratalog.llm.session import materialise, table
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MINED = 0.002, 5, 0.6, 16
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MINED = 0.002, 5, 0.6, 12
 BAD = "label:bad"
 #: Rules up to which the index is broadcast; beyond, it is joined by token.
 FEW_RULES = 100_000
