@@ -486,6 +486,57 @@ def test_network_gradient():
         value[at] += 1e-5
 
 
+def test_findings_of_every_row_and_length_are_learned(spark):
+    """More rows and findings than any sample had, and findings longer than it took."""
+    r = random.Random(23)
+    rows = [(i, f"number {10**15 + i} or " + ("".join(r.choice("0123456789abcdef") for _ in range(40)) if i % 6 == 0 else "none")) for i in range(24_000)]
+    rows += [(-1, "k" * 700 + " " + "ab12" * 200), (-2, None)]
+    expected = set()
+    for _, text in rows:
+        base = secrets.base_spans(text or "")
+        expected |= {(*form, 1) for span in base for form in secrets.shown(text, span)}
+        low = lambda start: max(0, start - secrets.CONTEXT)
+        runs = [(s, e) for s, e in secrets.candidates(text or "", base) if not secrets.shaped(text[s:e])]
+        expected |= {(text[low(s) : e + secrets.CONTEXT], s - low(s), e - low(s), 0) for s, e in runs}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.labelled_findings(frame).drop("aside").collect()
+    assert len(found) == len(expected) > 30_000 and {tuple(x) for x in found} == expected
+
+
+def test_secrets_that_are_all_long_are_learned(spark):
+    r = random.Random(29)
+    rows = [(i, f"{'token=' + ''.join(r.choice('0123456789abcdef') for _ in range(600))} beside {'plainword' * 4}{i % 7 * 'o'} {10**15 + i}") for i in range(80)]
+    assert secrets.fit(spark.createDataFrame(rows, "doc_id long, text string")) is not None
+
+
+def test_a_network_of_many_shards(spark, monkeypatch):
+    """Learned in parts, it parts the labels, and a second run gives the very same."""
+    monkeypatch.setattr(secrets, "SHARD", 64)
+    r = random.Random(31)
+    rows = [(i, f"words {''.join(r.choice('0123456789abcdef') for _ in range(40))} and {''.join(r.choice(('en', 'tion', 'ver', 'ich')) for _ in range(8))} x") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    net, again = secrets.fit(frame), secrets.fit(frame.repartition(7))
+    assert np.array_equal(net.weights(), again.weights()) and (net.scale, net.offset, net.threshold) == (again.scale, again.offset, again.threshold)
+    both = [net.probabilities([secrets.codes(t, *m.span()) for _, t in rows for m in re.finditer(pattern, t)]) for pattern in ("[0-9a-f]{40}", "[a-z]{16,}")]
+    assert (both[0] >= net.threshold).mean() > 0.95 and (both[1] >= net.threshold).mean() < 0.02
+
+
+def test_scale_and_threshold_against_a_plain_count(spark):
+    r = np.random.default_rng(37)
+    z = np.concatenate([r.normal(-1, 1, 300), r.normal(1, 1, 200), [0.0, -0.0, 1e300, -1e-300]])
+    label = np.array([0] * 300 + [1] * 204)
+    frame = spark.createDataFrame([(float(x), int(o), int(y)) for x, o, y in zip(z, secrets._ordered(z.view(np.int64)), label)], "z double, order long, label long")
+    for rank in (0, 7, 250, 503):
+        assert secrets._ranked(frame, rank) == np.sort(z)[rank]
+    near = frame.where("abs(z) < 10")
+    z, label = (np.array([x[c] for x in near.select("z", "label").collect()]) for c in ("z", "label"))
+    n = int((label == 0).sum()), int(label.sum())
+    a, b = secrets._platt(near, n)
+    goal = np.where(label == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    error = secrets.sigmoid(a * z + b) - goal
+    assert abs((error * z).sum() + 1e-3 * a) < 1e-5 and abs(error.sum()) < 1e-5 and a > 0
+
+
 def test_too_few_findings_train_nothing(spark):
     assert secrets.fit(spark.createDataFrame([(1, "plain")], "doc_id long, text string")) is None
     assert secrets.fit(spark.createDataFrame([], "doc_id long, text string")) is None
